@@ -1,10 +1,12 @@
 """The subpackage's queries and their DuckDB counterparts."""
 
-from tagwell.llm import bpe, token_files, url_filter
+from tagwell.llm import bpe, fingerprint, language_id, token_files, url_filter
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_token_files": token_files.op4_token_files,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_language_id": language_id.op8_language_id,
+    "op10_fingerprints": fingerprint.op10_fingerprints,
 }
 ORACLES = {"op7_url_filter": url_filter.ORACLE}
