@@ -1,8 +1,10 @@
 """The subpackage's queries and their DuckDB counterparts."""
 
-from tagwell.llm import bpe, fingerprint, language_id, token_files, url_filter
+from tagwell.llm import bpe, fingerprint, language_id, secrets_crf, source_mix, token_files, url_filter
 
 QUERIES = {
+    "op1_secret_scan": secrets_crf.op1_secret_scan,
+    "op2_source_mix": source_mix.op2_source_mix,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_token_files": token_files.op4_token_files,
     "op7_url_filter": url_filter.op7_url_filter,
