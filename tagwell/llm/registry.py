@@ -1,6 +1,6 @@
 """The subpackage's queries and their DuckDB counterparts."""
 
-from tagwell.llm import bpe, fingerprint, language_id, secrets_crf, shingle_join, source_mix, token_files, url_filter
+from tagwell.llm import bpe, fingerprint, language_id, secrets_crf, shingle_join, source_mix, token_files, topk, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets_crf.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_ngram_jaccard": shingle_join.op6_ngram_jaccard,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_language_id": language_id.op8_language_id,
+    "op9_exact_topk": topk.op9_exact_topk,
     "op10_fingerprints": fingerprint.op10_fingerprints,
 }
 ORACLES = {"op7_url_filter": url_filter.ORACLE}
