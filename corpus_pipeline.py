@@ -1,21 +1,52 @@
-"""A corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline over documents; each stage's result is written as Parquet and read again as the next one's documents.
+
+1. language_id: documents whose language can't be told (no text, no letter, or no likeness to any learned language) go.
+2. ngram_jaccard: of each group of near copies the document of the smallest doc_id stays; documents without words are no copies of each other.
+3. secret_scan: secrets in texts are replaced by a mark.
+4. source_mix: a document is repeated as often as the mix to target weights takes it, so what it doesn't take goes.
+5. byte_bpe: each document's ids, their number and digests.
+
+Defined results: rows with one doc_id are one document's copies: stage 2 keeps one of them. Other columns than text and n_chars pass unchanged.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagwell.llm import bpe
+from tagwell.llm import bpe, language_id, secrets_crf, shingle_join, source_mix
 from tagwell.llm.common import shared_dir, table
 
+LEAST_LIKENESS = 0.02
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    langs, prototypes = language_id.fit(language_id.labelled_part(docs))
+    judged = language_id.identify(docs, langs, prototypes)
+    return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_LIKENESS)).select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = shingle_join.join_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets_crf.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = source_mix.mix(docs).where("taken > 0").select(F.col("doc_id").alias("of"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    return docs.join(taken, F.col("doc_id") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(docs[c] for c in docs.columns))
+
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of every document that is left: number and digest of its ids, digest of what they decode to."""
     return bpe.digests(bpe.encode_documents(docs))
 
 
-STAGES = [("byte_bpe", encoded)]
+STAGES = [("language_id", known_language), ("ngram_jaccard", without_near_copies), ("secret_scan", without_secrets), ("source_mix", mixed), ("byte_bpe", encoded)]
 
 ORACLE_SQL = None
 
