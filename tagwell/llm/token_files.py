@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagwell.llm import files
-from tagwell.llm.bpe import RunEncoder
+from tagwell.llm.bpe import KEPT_LENGTH, RunEncoder
 from tagwell.llm.common import cut, shared_dir, sized_partitions, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 FRAME_BYTES = 1 << 17
+SLICE, KEPT_RUNS = 128, 1_200_000
 #: Fixed values of zstandard's skippable frames and seekable format.
 SKIPPABLE_MAGIC, INDEX_MAGIC, SEEK_FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 INDEX_TAIL = "<QB"
@@ -125,21 +126,51 @@ class Reader:
             yield int(self.doc_ids[i]) if self.known[i] else None, ids[start : start + self.lengths[i]]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> tuple[RunEncoder, list[str], int]:
-    """The tokenizers library's ids run by run; strings of added tokens, which can stand anywhere in a text; the vocabulary's size."""
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    added = [t.content for t in library.get_added_tokens_decoder().values()]
-    encode = lambda run: np.array(library.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-    return RunEncoder(encode), added, library.get_vocab_size()
+class Encoder:
+    """Ids of whole texts by the tokenizers library, which gets each run between sure boundaries once, many of them as one string."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]  # these can stand anywhere in a text
+        self.size = self.library.get_vocab_size()
+        self.lengths = np.zeros(self.size, np.int64)  # bytes of each token: its string has a character for each
+        for token, i in self.library.get_vocab().items():
+            self.lengths[i] = len(token)
+        self.runs = RunEncoder(self.whole)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def whole(self, text: str) -> bytes:
+        return self.ids(text).tobytes()
+
+    def learn(self, texts: list[str]) -> None:
+        """Encode the runs of these texts that aren't known yet."""
+        known = self.runs.rest
+        runs = set().union(*(text.split(" ")[1:] for text in texts))
+        fresh = [run for run in runs if run not in known and run and not run[0].isspace() and len(run) <= KEPT_LENGTH]
+        if not fresh:
+            return
+        if len(known) + len(fresh) > KEPT_RUNS:
+            known.clear()
+        ids = self.ids(" " + " ".join(fresh))
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(run.encode()) + 1 for run in fresh])) + 1
+        data, start = ids.tobytes(), 0
+        for run, end in zip(fresh, (4 * ends).tolist(), strict=True):
+            known[run] = data[start:end]
+            start = end
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [text for text in texts if not any(a in text for a in self.added)]
+        self.learn(plain)
+        return [self.ids(text) if any(a in text for a in self.added) else np.frombuffer(self.runs(text), "<u4") for text in texts]
 
 
-def encode(text: str, path: str) -> np.ndarray:
-    runs, added, _ = encoder(path)
-    data = runs.first.encode(text) if any(a in text for a in added) else runs(text)
-    return np.frombuffer(data, "<u4")
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_token_files(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_ID, partitions: int | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -156,13 +187,15 @@ def write_token_files(docs: DataFrame, uri: str, path: str | None = None, end_id
 
         shard, writer, n_tokens = TaskContext.get().partitionId(), None, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                if writer is None:
-                    writer = Writer(2 if max(encoder(path)[2], end_id + 1) <= 1 << 16 else 4, frame_bytes)
-                tokens = np.append(encode(text.as_py(), path), np.uint32(end_id))
-                n_tokens += len(tokens)
-                writer.add(doc_id.as_py(), tokens)
-        if writer is not None:
+            encode = encoder(path)
+            writer = writer or Writer(2 if max(encode.size, end_id + 1) <= 1 << 16 else 4, frame_bytes)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    tokens = np.append(ids, np.uint32(end_id))
+                    n_tokens += len(tokens)
+                    writer.add(doc_id, tokens)
+        if writer is not None and writer.ids:
             name = f"{uri}/shard-{shard:06d}.tok.zst"
             files.write_once(name, writer.finish())
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [name], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
