@@ -6,7 +6,7 @@
 4. source_mix: a document is repeated as often as the mix to target weights takes it, so what it doesn't take goes.
 5. byte_bpe: each document's ids, their number and digests.
 
-Defined results: rows with one doc_id are one document's copies: stage 2 keeps one of them. Other columns than text and n_chars pass unchanged.
+Defined results: rows with one doc_id are one document's copies: stage 2 keeps one of them. Documents without doc_id can't be told apart and pass stages 2 and 4 as they are. Other columns than text and n_chars pass unchanged.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = shingle_join.join_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    known = docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = source_mix.mix(docs).where("taken > 0").select(F.col("doc_id").alias("of"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return docs.join(taken, F.col("doc_id") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(docs[c] for c in docs.columns))
+    repeated = docs.join(taken, F.col("doc_id") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select(*(docs[c] for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
