@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tagwell.plans import catalog, prices  # noqa: F401  both register their queries
+from tagwell.plans.prices import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of the smallest tables; replaced by the price comparison once that exists."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """Cheapest-first price comparison."""
+    return prices.compare_prices_product(spark, sf_dir)
