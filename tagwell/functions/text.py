@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Document types by the beginning of a file's stem, in the order they are tried.
 DOCUMENT_TYPES = (
@@ -46,13 +47,13 @@ def _clean(text: str) -> str | None:
     return " ".join(kept.split()) or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def search_text(text: pd.Series) -> pd.Series:
     """NFKC and case folding; letters and numbers stay, punctuation, symbols and separators are spaces, marks go. Not in Spark's own functions."""
     return text.map(lambda t: None if t is None else _search(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_text(text: pd.Series) -> pd.Series:
     """NFKC without control characters, white space collapsed, empty as null."""
     return text.map(lambda t: None if t is None else _clean(t))
