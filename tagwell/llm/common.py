@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[key]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps that are over: it does so once the driver's objects for them are collected, so collect them now and not when memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there, so that nothing above is computed again and a lost executor loses nothing."""
     shared_dir(df.sparkSession)
+    tidy(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagwell.llm import files
-from tagwell.llm.common import cut, shared_dir, sized_partitions, table
+from tagwell.llm.common import cut, shared_dir, sized_partitions, table, tidy
 
 LENGTH, ANCHOR = 400, 48
 CHUNK = 1 << 20
@@ -201,6 +201,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     if several.where(many).limit(1).count():
         marks = marks.unionByName(counted_windows(fetched(several.where(many), texts), length))
     marks = cut(marks.groupBy("h", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("runs")).withColumnsRenamed({"h": "of", "ctx": "of_ctx"}))
+    tidy(texts.sparkSession)
     spans = found.join(marks, (F.col("h") == F.col("of")) & (F.col("ctx") == F.col("of_ctx"))).select("k1", "k2", F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"] + length).alias("end"))).alias("spans"))
     return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
