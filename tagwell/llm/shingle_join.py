@@ -30,38 +30,58 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwell.llm.common import cut, table
+from tagwell.llm.common import cut, table, tidy
 from tagwell.llm.graph import components
 
 WORDS, PERCENT = 5, 75
-KEYS, NEAREST, WIDER = 4, 8, 8
+KEYS, NEAREST, WIDER = 4, 64, 64
 FREQUENT, LEAST_FREQUENT = 1 / 2000, 24
 BLOCK_TOKENS = 4_000_000
 TILE_POSTINGS, TILE_CLASSES, CHECKED_AT_ONCE = 1_500_000, 256, 2_000_000
 MOST_BITS = 1 << 14
-KEPT_WORDS = 1_000_000
+LONGEST = 1 << 12
 ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
 @lru_cache(maxsize=1)
-def hashes() -> Hashes:
-    return Hashes()
+def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, 0 for white space; whether it is white space; powers of a random odd number."""
+    rng = np.random.default_rng(6)
+    values, white = rng.integers(1, 1 << 64, 256, np.uint64), np.zeros(256, bool)
+    white[[9, 10, 11, 12, 13, 32]] = True
+    values[white] = 0
+    return values, white, np.cumprod(np.full(LONGEST, int(rng.integers(1, 1 << 62)) * 2 + 1, np.uint64))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word (between ASCII white space, A-Z lower-cased), in order: a polynomial of its bytes, for all words at once."""
+    a = np.frombuffer(data.lower(), np.uint8)
+    values, white, powers = letters()
+    gap = white[a]
+    inner = ~gap
+    starts = np.flatnonzero(inner & np.concatenate([[True], gap[:-1]])) if len(a) else np.empty(0, np.int64)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    lengths = np.flatnonzero(inner & np.concatenate([gap[1:], [True]])) + 1 - starts
+    at = np.flatnonzero(inner)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(at)) - np.repeat(first, lengths)
+    long = np.flatnonzero(lengths > LONGEST)
+    h = np.add.reduceat(values[a[at]] * powers[np.minimum(place, LONGEST - 1) if len(long) else place], first)
+    h ^= lengths.astype(np.uint64) * ODD[2]
+    h ^= h >> np.uint64(30)
+    h *= ODD[1]
+    h ^= h >> np.uint64(27)
+    for k in long:
+        h[k] = xxhash.xxh64_intdigest(a[starts[k] : starts[k] + lengths[k]].tobytes())
+    return h
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The text's set of shingles as sorted hashes."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes().__getitem__, words), np.uint64, len(words))
+    w = word_hashes((text or "").encode())
+    if not len(w):
+        return w
     if len(w) < WORDS:
         return np.array([xxhash.xxh64_intdigest(w.tobytes(), len(w))], np.uint64)
     n = len(w) - WORDS + 1
@@ -71,7 +91,13 @@ def shingles(text: str | None) -> np.ndarray:
     s ^= s >> np.uint64(31)
     s *= ODD[1]
     s ^= s >> np.uint64(29)
-    return np.unique(s)
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
+
+
+def held_by(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which elements of y are in the sorted array x."""
+    return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y if len(x) else np.zeros(len(y), bool)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -80,8 +106,7 @@ def node_of(s: np.ndarray) -> int:
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     """100 * intersection >= 75 * union, of sorted arrays."""
-    at = np.searchsorted(x, y)
-    common = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+    common = int(held_by(x, y).sum())
     return common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
@@ -172,7 +197,7 @@ def describe(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if not len(s):
                     rows.append((None, 0, [], None, None))
                     continue
-                last = np.isin(s, frequent, assume_unique=True) if len(frequent) else np.zeros(len(s), bool)
+                last = held_by(frequent, s)
                 first = np.concatenate([s[~last], s[last]])[: prefix(len(s))]
                 rows.append((node_of(s), len(s), s[:KEYS].view(np.int64), (first >> np.uint64(32)).astype(np.uint32).tobytes(), bitmap(s, bits_of(band_of(len(s)) + 1)).tobytes()))
             columns = zip(*rows, strict=True) if rows else ([],) * 5
@@ -319,24 +344,24 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach, its own included), one row per row of docs."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = cut(describe(docs, frequent_shingles(docs)))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("row")
-    classes = rows.where("n > 0").groupBy("node").agg(first, F.max("n").alias("n")).select("node", "row.doc_id", "n")
-    one = rows.alias("r").join(classes.alias("c"), F.expr("r.node = c.node AND r.doc_id <=> c.doc_id"))
-    classes = cut(one.select("r.node", "r.doc_id", "r.n", "r.keys", "r.first", "r.bits").dropDuplicates(["node"]))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "n", "keys", "first", "bits")).alias("one")
+    classes = cut(rows.where("n > 0").groupBy("node").agg(one).select("node", "one.doc_id", "one.n", "one.keys", "one.first", "one.bits"))
+    rows = cut(rows.select("doc_id", "node", "n"))
 
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("key").alias("of"), "p")
     near = keyed.join(pivots, F.col("key") == F.col("of")).where(f"node <> p.node AND 100 * least(n, p.n) >= {PERCENT} * greatest(n, p.n)").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-    links, nearest = verified(near, classes, docs), NEAREST
+    labels, nearest = cut(components(verified(near, classes, docs))), NEAREST
     while True:
-        labels = cut(components(links))
         pairs = cut(tile_pairs(classes, labels, nearest))
         more = pairs.where("more").limit(1).count()
-        links = cut(links.unionByName(verified(pairs, classes, docs)))
+        found = verified(pairs, classes, docs)
+        if found.limit(1).count():  # the components so far are links too, of the shortest kind
+            labels = cut(components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
         nearest *= WIDER
         if not more:
             break
-    labels = components(links)
+    tidy(docs.sparkSession)
     of_class = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     placed = of_class.join(smallest, "label").select("node", "component_id")
