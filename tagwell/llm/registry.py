@@ -14,4 +14,4 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_fingerprints": fingerprint.op10_fingerprints,
 }
-ORACLES = {"op7_url_filter": url_filter.ORACLE}
+ORACLES = {"op6_ngram_jaccard": shingle_join.ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_exact_topk": topk.ORACLE}
