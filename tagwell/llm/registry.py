@@ -9,9 +9,10 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_ngram_jaccard": shingle_join.op6_ngram_jaccard,
+    "op6_ngram_jaccard_links": shingle_join.op6_ngram_jaccard_links,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_fingerprints": fingerprint.op10_fingerprints,
 }
-ORACLES = {"op6_ngram_jaccard": shingle_join.ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_exact_topk": topk.ORACLE}
+ORACLES = {"op6_ngram_jaccard": shingle_join.ORACLE, "op6_ngram_jaccard_links": shingle_join.LINKS_ORACLE, "op7_url_filter": url_filter.ORACLE, "op9_exact_topk": topk.ORACLE}

@@ -11,6 +11,9 @@ compared with one of them first, and tiles give only pairs between different com
 few that look nearest. Whenever a tile had more than these, the round is repeated with the components found and room for more, until nothing is left out. So
 the components are those of all links, while groups of near copies are never compared pair by pair.
 
+The number of links takes all of them. A link lies within a component, so each component's classes are dealt into blocks of bounded
+size, each two blocks meet in one group, and there all pairs that fit in size are intersected exactly, by bits of the shingles that two of the group hold.
+
 Shingles are 64-bit hashes, classes are told apart by 64 bits of their set's digest.
 
 Defined results: documents without words (null, empty, white space) have no shingles and are alone; fewer than five words are one shingle; repeated
@@ -40,6 +43,7 @@ BLOCK_TOKENS = 4_000_000
 TILE_POSTINGS, TILE_CLASSES, CHECKED_AT_ONCE = 1_500_000, 256, 2_000_000
 MOST_BITS = 1 << 14
 LONGEST = 1 << 12
+LINK_CLASSES, LINK_SHINGLES = 1024, 500_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -340,9 +344,12 @@ def pairs_of_tile(nearest, nodes, labels, ns, tile, maps, shingle, is_short, cou
     return nodes[x[keep]], nodes[y[keep]], rank[keep] == nearest - 1
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id that links reach, its own included), one row per row of docs."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+def typed(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
+def labelled_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, node, n), classes, and the labels of the classes that have links to others."""
     rows = cut(describe(docs, frequent_shingles(docs)))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "n", "keys", "first", "bits")).alias("one")
     classes = cut(rows.where("n > 0").groupBy("node").agg(one).select("node", "one.doc_id", "one.n", "one.keys", "one.first", "one.bits"))
@@ -362,16 +369,104 @@ def join_documents(docs: DataFrame) -> DataFrame:
         if not more:
             break
     tidy(docs.sparkSession)
+    return rows, classes, labels
+
+
+def join_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id that links reach, its own included), one row per row of docs."""
+    rows, classes, labels = labelled_classes(typed(docs))
     of_class = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     placed = of_class.join(smallest, "label").select("node", "component_id")
     return rows.join(placed, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def links_within(own: list[np.ndarray], other: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of own link with which of other, or with later ones of own, by exact intersections: places of both."""
+    sets = own + (other or [])
+    sizes = np.array([len(s) for s in sets])
+    held, count = np.unique(np.concatenate(sets), return_counts=True)
+    held = held[count > 1]  # others are in no intersection
+    maps = np.zeros((len(sets), -(-len(held) // 64)), np.uint64)
+    for k, s in enumerate(sets):
+        bits = np.zeros(maps.shape[1] * 64, bool)
+        bits[np.searchsorted(held, s[held_by(held, s)])] = True
+        maps[k] = np.packbits(bits, bitorder="little").view(np.uint64)
+    start = len(own) if other is not None else 0
+    order = start + np.argsort(sizes[start:], kind="stable")
+    sizes_, maps_ = sizes[order], maps[order]
+    found_x, found_y = [], []
+    for x in range(len(own)):
+        least, most = -(-PERCENT * sizes[x] // 100), 100 * sizes[x] // PERCENT
+        i, j = np.searchsorted(sizes_, least), np.searchsorted(sizes_, most, "right")
+        common = np.bitwise_count(maps[x] & maps_[i:j]).sum(1, dtype=np.int64)
+        y = order[i:j][(common > 0) & ((100 + PERCENT) * common >= PERCENT * (sizes[x] + sizes_[i:j]))]
+        y = y[y > x] if other is None else y - start
+        found_x.append(np.full(len(y), x))
+        found_y.append(y)
+    return np.concatenate(found_x), np.concatenate(found_y)
+
+
+def count_links(docs: DataFrame) -> DataFrame:
+    """doc_id and n_links (how many other rows link with it, exact copies too), one row per row of docs."""
+    docs = typed(docs)
+    rows, classes, labels = labelled_classes(docs)
+    weights = cut(rows.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("weight")))
+    members = labels.join(classes.select("node", "n"), "node").join(weights, "node")
+    size = F.ceil(F.greatest(F.count(F.lit(1)) / LINK_CLASSES, F.sum("n") / LINK_SHINGLES)).cast("int")
+    blocks = members.groupBy("label").agg(size.alias("blocks"))
+    dealt = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "label", "weight", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text.as_py()) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), batch.column(0)], names=["node", "text"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = None, []
+        for batch in batches:
+            out = []
+            for label, i, j, second, node, weight, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held != (label, i, j) and group:
+                    out += counted(held[1] == held[2], group)
+                    group = []
+                held = (label, i, j)
+                group.append((second, node, weight, shingles(text)))
+            yield given(out)
+        if group:
+            yield given(counted(held[1] == held[2], group))
+
+    def counted(same: bool, group: list) -> list[tuple[int, int]]:
+        own, other = [g for g in group if not g[0]], [g for g in group if g[0]]
+        if not own or not (same or other):
+            return []
+        x, y = links_within([g[3] for g in own], None if same else [g[3] for g in other])
+        other = own if same else other
+        links_x = np.bincount(x, np.array([g[2] for g in other])[y], len(own)).astype(np.int64)
+        links_y = np.bincount(y, np.array([g[2] for g in own])[x], len(other)).astype(np.int64)
+        both = [(g[1], int(n)) for g, n in zip(own, links_x, strict=True)] + [(g[1], int(n)) for g, n in zip(other, links_y, strict=True)]
+        return [b for b in both if b[1]]
+
+    def given(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["node", "links"])
+
+    texts = docs.select("text").mapInArrow(name, "node long, text string").where("node IS NOT NULL").groupBy("node").agg(F.min("text").alias("text"))
+    groups = dealt.join(texts, "node").select("label", "i", "j", "second", "node", "weight", "text")
+    found = groups.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(count, "node long, links long")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    of_class = weights.join(links, "node", "left").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return rows.join(of_class, "node", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_links(table(spark, sf_dir, "documents"))
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
@@ -381,3 +476,7 @@ r AS (SELECT a AS doc_id, a AS reached FROM p UNION SELECT r.doc_id, p.b FROM r
 c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.doc_id = c.doc_id
 """
+
+LINKS_ORACLE = ORACLE[: ORACLE.index("r AS (SELECT a")].replace("WITH RECURSIVE", "WITH").rstrip().rstrip(",") + """
+SELECT s.doc_id, count(p.b) AS n_links FROM s LEFT JOIN p ON s.doc_id = p.a GROUP BY s.doc_id
+"""

@@ -62,6 +62,19 @@ def test_components_against_all_pairs(spark, seed, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("classes", [7, 1024])
+def test_number_of_links_against_all_pairs(spark, classes, monkeypatch):
+    monkeypatch.setattr(sj, "LINK_CLASSES", classes)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = corpus(3) + [(20_000 + i, " ".join(w if rng.random() > 0.02 else f"{w}x{i}" for w in base)) for i in range(150)]  # one group of different near copies
+    sets = [shingle_set(t) for _, t in rows]
+    link = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = sorted(((d, sum(link(s, o) for k, o in enumerate(sets) if k != i)) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in sj.count_links(docs).collect()), key=str) == want
+
+
 def test_empty_table(spark):
     assert sj.join_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
