@@ -1,5 +1,6 @@
 import gzip
 import io
+import random
 import zipfile
 from datetime import datetime
 from decimal import Decimal
@@ -123,3 +124,23 @@ def test_export_and_archive(spark, tmp_path):
 def test_links_skip_scripts():
     page = "<p><a href='/x.gz'>one <b>file</b></a><script>var a='<a href=\"no\">';</script><a name=n>t</a><A HREF=y>two</A>"
     assert html_links.links(page) == [("/x.gz", "one file"), ("y", "two")] and html_links.links(None) == []
+
+
+def test_candidates_of_common_trigrams_against_all_pairs(spark):
+    rng = random.Random(4)
+    kinds = ["milk", "milky", "silk milk", "dairy milk", "low fat milk", "milk shake", "goat milk", "oat"]
+    names = [" ".join([rng.choice(kinds), *([rng.choice(["one", "two", "blue", "red", f"q{i}z"])] * rng.randint(0, 1))]) for i in range(400)]
+    products = [(1000 + i, n, None) for i, n in enumerate(names)] + [(5000, "milk", "g7"), (5001, None, None), (5002, "--", None)]
+    items = [(1, "milk", None), (2, "goat milk", None), (3, "milk blue", "g7"), (4, "oat red q17z", None), (5, "xyzzy", None), (6, None, None), (7, "Milk", None)]
+    grams = lambda name: {f"  {w} "[i : i + 3] for w in (name or "").lower().replace("-", " ").split() for i in range(len(w) + 1)}
+    want = set()
+    for item, name, gtin in items:
+        found = []
+        for product, other, code in products:
+            both, either = len(grams(name) & grams(other)), len(grams(name) | grams(other))
+            if (same := gtin is not None and gtin == code) or both:
+                found.append((not same, -both / either, product))
+        want |= {(item, product) for *_, product in sorted(found)[:3]}
+    frame = lambda rows: spark.createDataFrame(rows, "id long, name string, gtin string")
+    got = {(r.item, r.product) for r in identity.candidates(frame(items), frame(products), k=3).collect()}
+    assert got == want and any(item == 1 for item, _ in got)
