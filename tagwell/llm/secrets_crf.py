@@ -5,9 +5,9 @@ beginning of a secret, inside one, or outside (B, I, O), from the token's shape,
 and Viterbi decodes the best sequence. The driver trains it on seeded
 synthetic text, by maximum likelihood, when it is first used, and tasks get its weights.
 
-Most tokens are plain: more than REACH tokens from any long token or key word. A plain token has one feature,
-`far`, whose weight puts O so far ahead that no sequence through B or I can win there (checked after
-training), so decoding the neighbourhoods of the others finds what decoding the whole text would.
+Every token has all its features. Scores of a token alone are cached, those of neighbours and of the file are tables by class of
+word, so a text's scores are a few array lookups. A token is surely outside if, by the learned weights, putting O there (and B for
+an I behind it) improves any sequence; all others, the stretches between sure ones, are decoded, so the result is that of decoding the whole text.
 
 Patterns give the base spans, which always stay; the field adds spans that touch none of them.
 
@@ -22,7 +22,7 @@ import math
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ TOKEN = re.compile(r"[\w+/-]+|[^\w\s+/-]")
 LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KEY_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "bearer", "credential", "private")
 KEY = re.compile("|".join(KEY_WORDS), re.IGNORECASE | re.ASCII)
-REACH = 3
+SHORTEST_KEY = min(map(len, KEY_WORDS))
+CACHED = 60_000_000
 TAGS = "BIO"
 B, I, O = range(3)
 FORBIDDEN = -1e4
@@ -81,8 +82,13 @@ def shape(token: str) -> str:
 
 def bits(token: str) -> float:
     """Entropy of its characters."""
-    n = len(token)
-    return -sum(k / n * math.log2(k / n) for k in (token.count(c) for c in set(token)))
+    return entropy(tuple(sorted(map(token.count, set(token)))))
+
+
+@lru_cache(maxsize=1 << 14)
+def entropy(counts: tuple[int, ...]) -> float:
+    n = sum(counts)
+    return -sum(k / n * math.log2(k / n) for k in counts)
 
 
 def word(token: str) -> str:
@@ -99,29 +105,25 @@ def file_features(text: str) -> list[str]:
     return [f"file:marks{min(marks, 3)}", f"file:lines{min(3, text.count(chr(10)) * 100 // max(1, len(text)))}"]
 
 
-def is_active(token: str) -> bool:
-    return bool(LONG.search(token) or KEY.search(token))
+def own_features(token: str) -> list[str]:
+    """Those of the token alone."""
+    form = "x" if token.islower() else "X" if token.isupper() else "Xx" if token.istitle() else None
+    if form and token.isascii() and token.isalpha():  # most tokens, by fewer steps
+        kinds, slashes = {"x": "010", "X": "001", "Xx": "011"}[form], 0
+        own = word(token) if len(token) >= SHORTEST_KEY else "word"
+    else:
+        form, own, slashes = shape(token), word(token), min(token.count("/") + token.count("-"), 3)
+        kinds = f"{any(c.isdigit() for c in token):d}{any(c.islower() for c in token):d}{any(c.isupper() for c in token):d}"
+    return ["any", f"shape:{form}", f"length:{min(len(token) // 4, 10)}", f"kinds:{kinds}", f"bits:{min(int(2 * bits(token)), 11)}", f"word:{own}", f"slashes:{slashes}"]
 
 
 def features(tokens: list[str], of_file: list[str]) -> list[list[str]]:
     """The features of each token; those of the file join with the token's class."""
-    near = np.zeros(len(tokens) + 2 * REACH, bool)
-    for k, token in enumerate(tokens):
-        if is_active(token):
-            near[k : k + 2 * REACH + 1] = True
     words = ["<s>", "<s>", *map(word, tokens), "</s>", "</s>"]
     out = []
     for k, token in enumerate(tokens):
-        if not near[k + REACH]:
-            out.append(["far"])
-            continue
         own, before, after = words[k + 2], words[k + 1], words[k + 3]
-        kinds = f"{any(c.isdigit() for c in token):d}{any(c.islower() for c in token):d}{any(c.isupper() for c in token):d}"
-        out.append([
-            "near", f"shape:{shape(token)}", f"length:{min(len(token) // 4, 10)}", f"kinds:{kinds}", f"bits:{min(int(2 * bits(token)), 11)}", f"word:{own}",
-            f"before:{before}", f"two:{words[k]} {before}", f"after:{after}", f"with:{before} {own}", f"slashes:{min(token.count('/') + token.count('-'), 3)}",
-            *(f"{f} {own}" for f in of_file),
-        ])
+        out.append([*own_features(token), f"before:{before}", f"two:{words[k]} {before}", f"after:{after}", f"with:{before} {own}", *(f"{f} {own}" for f in of_file)])
     return out
 
 
@@ -176,20 +178,100 @@ class Field:
 
     def decode(self, rows: list[list[str]]) -> str:
         """Viterbi; before the first token stands an O."""
-        if not rows:
+        return self.best(self.scores(rows).tolist())
+
+    def best(self, scores: list[list[float]]) -> str:
+        """The best sequence between two O."""
+        if not scores:
             return ""
-        scores = self.scores(rows)
-        best, back = scores[0] + self.move[O], []
-        for s in scores[1:]:
-            step = best[:, None] + self.move
-            back.append(step.argmax(0))
-            best = step.max(0) + s
-        best = best + self.move[:, O]  # an O follows too
-        tags = [int(best.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
+        (bb, bi, bo), (ib, ii, io), (ob, _, oo) = self.move.tolist()
+        b, i, o = scores[0][B] + ob, scores[0][I] + FORBIDDEN, scores[0][O] + oo
+        back = []
+        for sb, si, so in scores[1:]:
+            to_b, to_i, to_o = (b + bb, i + ib, o + ob), (b + bi, i + ii, o + FORBIDDEN), (b + bo, i + io, o + oo)
+            top = max(to_b), max(to_i), max(to_o)
+            back.append((to_b.index(top[0]), to_i.index(top[1]), to_o.index(top[2])))
+            b, i, o = top[0] + sb, top[1] + si, top[2] + so
+        last = (b + bo, i + io, o + oo)
+        tags = [last.index(max(last))]
+        for step in reversed(back):
+            tags.append(step[tags[-1]])
         return "".join(TAGS[t] for t in reversed(tags))
 
+    def __getstate__(self) -> tuple:
+        return self.index, self.emit, self.move
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    @cached_property
+    def tables(self) -> Tables:
+        return Tables(self)
+
+
+class Tables:
+    """A field's scores by class of word, and a bounded cache of those of tokens alone."""
+
+    def __init__(self, model: Field):
+        self.model = model
+        known = [f.removeprefix("word:") for f in model.index if f.startswith("word:")]
+        self.classes = {c: k for k, c in enumerate(["", "<s>", "</s>", *known])}  # the first: marks that training has not seen
+        self.n = len(self.classes)
+        names = list(self.classes)
+        one = lambda form: np.array([self.of(form.format(c)) if c else np.zeros(3) for c in names])
+        two = lambda form: np.array([self.of(form.format(c, d)) if c and d else np.zeros(3) for c in names for d in names])
+        self.one, self.after, self.two = one, one("after:{}"), two("two:{} {}")
+        self.pair = two("with:{} {}") + np.repeat(one("before:{}"), self.n, 0)
+        self.files: dict[str, np.ndarray] = {}
+        self.clear()
+        m = model.move
+        self.plain = [min(m[p, O] + m[O, q] - m[p, y] - m[y, q] for p in (B, I, O) for q in (B, O) if (p, y) != (O, I)) for y in (B, I)]
+        self.split = [min(m[p, O] + m[O, B] + m[B, r] - m[p, y] - m[y, I] - m[I, r] for p in (B, I, O) for r in (B, I, O) if (p, y) != (O, I)) for y in (B, I)]
+
+    def of(self, feature: str) -> np.ndarray:
+        return self.model.emit[self.model.index[feature]] if feature in self.model.index else np.zeros(3)
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.sums: dict[tuple[str, ...], tuple[np.ndarray, int]] = {}
+        self.own, self.class_of, self.size = np.zeros((1 << 12, 3)), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, token: str) -> int:
+        k = len(self.places)
+        if k == len(self.own):
+            self.own, self.class_of = np.concatenate([self.own, np.zeros_like(self.own)]), np.concatenate([self.class_of, np.zeros_like(self.class_of)])
+        features_ = tuple(own_features(token))
+        if features_ not in self.sums:
+            self.sums[features_] = sum(map(self.of, features_)), self.classes.get(features_[5].removeprefix("word:"), 0)
+        self.own[k], self.class_of[k] = self.sums[features_]
+        self.places[token] = k
+        self.size += len(token) + 100
+        return k
+
+    def scores(self, tokens: list[str], of_file: list[str]) -> np.ndarray:
+        if self.size > CACHED:
+            self.clear()
+        found, add = self.places, self.add
+        at = np.array([found[t] if t in found else add(t) for t in tokens], np.int64)
+        c = np.concatenate([[1, 1], self.class_of[at], [2]])
+        for f in of_file:
+            if f not in self.files:
+                self.files[f] = self.one(f + " {}")
+        own = c[2:-1]
+        out = self.own[at] + self.pair[c[1:-2] * self.n + own]
+        out += self.two[c[:-3] * self.n + c[1:-2]]
+        out += self.after[c[3:]]
+        out += sum(self.files[f] for f in of_file)[own]
+        return out
+
+    def unsure(self, scores: np.ndarray) -> np.ndarray:
+        """Places that some best sequence may tag B or I."""
+        to_b, to_i = scores[:, O] - scores[:, B], scores[:, O] - scores[:, I]
+        gain = np.minimum(to_b + self.plain[B], to_i + self.plain[I])
+        behind = scores[1:, B] - scores[1:, I]
+        gain[:-1] = np.minimum(gain[:-1], np.minimum(to_b[:-1] + self.split[B], to_i[:-1] + self.split[I]) + behind)
+        return np.flatnonzero(gain <= 1e-6)
+
 
 @lru_cache(maxsize=1)
 def field(steps: int = 120, rate: float = 0.15, decay: float = 1e-4) -> Field:
@@ -247,46 +329,28 @@ def field(steps: int = 120, rate: float = 0.15, decay: float = 1e-4) -> Field:
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
             weights += rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-    # plain tokens are outside by definition: put O ahead of whatever the moves around a token can make up
-    emit[index["far"]] = 0
-    emit[index["far"], O] = 4 * np.abs(move[move > FORBIDDEN / 2]).max() + 1 + sum_of_best(emit)
     return Field(index, emit, move)
 
 
-def sum_of_best(emit: np.ndarray) -> float:
-    """What the tags of one token's features can differ by, at most."""
-    return float(np.sort(np.ptp(emit, axis=1))[-16:].sum())
-
-
-def regions(text: str, runs: list[tuple[int, int]]) -> list[list[re.Match]]:
-    """Tokens around the active ones: more than REACH on either side, joined where they meet."""
-    low = text.lower()
-    keys = [m.span() for m in KEY.finditer(text)] if any(k in low for k in KEY_WORDS) else []
-    out: list[list[re.Match]] = []
-    for a, b in sorted({*runs, *keys}):
-        size = 160
-        while True:
-            start, end = max(0, a - size), min(len(text), b + size)
-            tokens = list(TOKEN.finditer(text, start, end))
-            before, after = sum(m.end() <= a for m in tokens), sum(m.start() >= b for m in tokens)
-            if (start == 0 or before > REACH + 2) and (end == len(text) or after > REACH + 2):
-                break
-            size *= 4
-        tokens = tokens[(start > 0) : len(tokens) - (end < len(text))]  # the outermost may be cut
-        if out and out[-1][-1].end() > tokens[0].start():
-            last = out[-1][-1].end()
-            out[-1] += [m for m in tokens if m.start() >= last]
-        else:
-            out.append(tokens)
+def crf_spans(text: str, model: Field) -> list[tuple[int, int]]:
+    """The field's spans: as tagged() of all tokens, but only stretches that aren't surely outside are decoded."""
+    names = TOKEN.findall(text)
+    if not names:
+        return []
+    scores = model.tables.scores(names, file_features(text))
+    unsure = model.tables.unsure(scores)
+    if not len(unsure):
+        return []
+    out, tokens = [], None
+    for stretch in np.split(unsure, np.flatnonzero(np.diff(unsure) > 1) + 1):
+        start = int(stretch[0])
+        tags = model.best(scores[start : start + len(stretch)].tolist())
+        for m in re.finditer("BI*", tags):
+            tokens = tokens or [t.span() for t in TOKEN.finditer(text)]
+            out.append((tokens[start + m.start()][0], tokens[start + m.end() - 1][1]))
     return out
 
 
-def crf_spans(text: str, model: Field, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
-    found = regions(text, long_runs(text) if runs is None else runs)
-    of_file = file_features(text) if found else []
-    return [span for tokens in found for span in tagged(tokens, of_file, model)]
-
-
 def tagged(tokens: list[re.Match], of_file: list[str], model: Field) -> list[tuple[int, int]]:
     """Spans from a B to the last I after it."""
     tags = model.decode(features([m[0] for m in tokens], of_file))
@@ -298,7 +362,7 @@ def scan(text: str | None, model: Field) -> list[tuple[int, int, str]]:
     text = text or ""
     runs = long_runs(text)
     base = base_spans(text, runs)
-    more = [(a, b, "crf") for a, b in crf_spans(text, model, runs) if not any(a < e and s < b for s, e, _ in base)]
+    more = [(a, b, "crf") for a, b in crf_spans(text, model) if not any(a < e and s < b for s, e, _ in base)]
     return in_order(base + more)
 
 

@@ -65,3 +65,18 @@ def test_query_rows_and_redaction(spark, model):
 
 def test_digest_of_base_spans():
     assert sc.joined([(0, 9, "assign"), (4, 30, "hex")]) == "assign:0:9,hex:4:30"
+
+
+@pytest.mark.parametrize("text,secret", [("pwd: Xk9f2LqP81aZ", "Xk9f2LqP81aZ"), ("postgres://admin:Xk9f2LqP81@db", "Xk9f2LqP81"), ("the password for the new server is Xk9f2LqP81aZ today", "Xk9f2LqP81aZ")])
+def test_short_secrets_away_from_key_words(model, text, secret):
+    for whole in (text, "plain words here " * 30 + text + " and more of them" * 30):
+        assert any(secret in whole[a:b] for a, b in sc.crf_spans(whole, model))
+
+
+def test_places_that_are_surely_outside_are_in_no_best_sequence(model):
+    for text, _ in sc.synthetic(60, seed=21):
+        names = [m[0] for m in sc.TOKEN.finditer(text)]
+        rows = sc.features(names, sc.file_features(text))
+        scores = model.tables.scores(names, sc.file_features(text))
+        assert np.allclose(scores, model.scores(rows))
+        assert {k for k, t in enumerate(model.decode(rows)) if t != "O"} <= set(model.tables.unsure(scores).tolist())
