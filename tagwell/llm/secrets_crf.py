@@ -9,7 +9,7 @@ Every token has all its features. Scores of a token alone are cached, those of n
 word, so a text's scores are a few array lookups. A token is surely outside if, by the learned weights, putting O there (and B for
 an I behind it) improves any sequence; all others, the stretches between sure ones, are decoded, so the result is that of decoding the whole text.
 
-Patterns give the base spans, which always stay; the field adds spans that touch none of them.
+Patterns give the base spans, which always stay; the field adds spans that don't lie within one of them.
 
 Defined results: null is as empty, with no spans; repeated rows are scanned each; any doc_id may occur, null
 too; columns besides doc_id and text are not read.
@@ -358,11 +358,11 @@ def tagged(tokens: list[re.Match], of_file: list[str], model: Field) -> list[tup
 
 
 def scan(text: str | None, model: Field) -> list[tuple[int, int, str]]:
-    """All spans in order: the patterns', and the field's that touch none of them."""
+    """All spans in order: the patterns', and the field's that reach beyond each of them."""
     text = text or ""
     runs = long_runs(text)
     base = base_spans(text, runs)
-    more = [(a, b, "crf") for a, b in crf_spans(text, model) if not any(a < e and s < b for s, e, _ in base)]
+    more = [(a, b, "crf") for a, b in crf_spans(text, model) if not any(s <= a and b <= e for s, e, _ in base)]
     return in_order(base + more)
 
 

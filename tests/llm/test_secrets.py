@@ -80,3 +80,9 @@ def test_places_that_are_surely_outside_are_in_no_best_sequence(model):
         scores = model.tables.scores(names, sc.file_features(text))
         assert np.allclose(scores, model.scores(rows))
         assert {k for k, t in enumerate(model.decode(rows)) if t != "O"} <= set(model.tables.unsure(scores).tolist())
+
+
+def test_secret_wider_than_the_pattern_goes_as_a_whole(spark, model):
+    text = "see key ghp_" + "0123456789abcdef" * 2 + "QkZ9XwT4Vb and more"
+    assert [s[2] for s in sc.scan(text, model)] == ["crf", "hex"] and sc.scan(text, model)[1:] == sc.base_spans(text)
+    assert sc.redact(spark.createDataFrame([(text,)], "text string")).first().text == "see key [secret] and more"
