@@ -144,3 +144,9 @@ def test_candidates_of_common_trigrams_against_all_pairs(spark):
     frame = lambda rows: spark.createDataFrame(rows, "id long, name string, gtin string")
     got = {(r.item, r.product) for r in identity.candidates(frame(items), frame(products), k=3).collect()}
     assert got == want and any(item == 1 for item, _ in got)
+
+
+def test_late_document_type_declaration():
+    late = f"<!--{'x' * 9000}--><!DOCTYPE Root [<!ENTITY a 'b'>]><Root/>"
+    with pytest.raises(pf.Refused, match="document_type_declaration"):
+        list(pf.records(late, "price"))
