@@ -6,7 +6,7 @@
 4. source_mix: a document is repeated as often as the mix to target weights takes it, so what it doesn't take goes.
 5. byte_bpe: each document's ids, their number and digests.
 
-Defined results: rows with one doc_id are one document's copies: stage 2 keeps one of them. Documents without doc_id can't be told apart and pass stages 2 and 4 as they are. Other columns than text and n_chars pass unchanged.
+Defined results: stages 2 and 4 tell rows apart by a digest of the whole row, so a null doc_id, or one with several texts, loses nothing; in stage 2 a null doc_id counts as the largest, and rows without words and doc_id all stay. Other columns than text and n_chars pass unchanged.
 """
 
 from __future__ import annotations
@@ -28,10 +28,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_LIKENESS)).select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, a digest of the whole row: only equal rows share one."""
+    return docs.withColumn("_key", F.xxhash64(*(docs[c] for c in docs.columns), *(docs[c].isNull() for c in docs.columns)))
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = shingle_join.join_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows = keyed(docs)
+    groups = shingle_join.join_documents(rows.select(F.col("_key").alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "of")
+    placed = rows.select("_key", "doc_id").distinct().join(groups, F.col("_key") == F.col("of"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_key", "n_shingles")).alias("one")
+    kept = placed.groupBy("component_id").agg(first).select(F.col("one._key").alias("of"), (F.col("one.unknown") & (F.col("one.n_shingles") == 0)).alias("apart"))
+    found = rows.join(kept, F.col("_key") == F.col("of"))
+    return found.where("NOT apart").dropDuplicates(["_key"]).select(docs.columns).unionByName(found.where("apart").select(docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +48,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = source_mix.mix(docs).where("taken > 0").select(F.col("doc_id").alias("of"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    repeated = docs.join(taken, F.col("doc_id") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(*(docs[c] for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    rows = keyed(docs)
+    taken = source_mix.mix(rows.withColumn("doc_id", F.col("_key"))).where("taken > 0").groupBy(F.col("doc_id").alias("of")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    repeated = rows.dropDuplicates(["_key"]).join(taken, F.col("_key") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,18 @@ def test_stages_take_effect(spark, sf_dir):
 def test_empty_table(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_without_doc_id_and_ids_with_several_texts(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(ENGLISH.split()) + rng.choice(["", "s", "ed", "ing"]) for _ in range(n))
+    a, b, c = text(60), text(60), text(60)
+    rows = [(None, a, "s0"), (None, a + " more", "s0"), (None, a, "s0"), (1, b, "s0"), (2, b, "s0"), (2, c, "s0"), (None, b + " more", "s0"), (None, "", "s0"), (None, "", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == sorted([(1, b), (2, c)])
+    assert sum(r.doc_id is None and r.text.startswith(a) for r in kept) == 1 and sum(r.text == "" for r in kept) == 2 and len(kept) == 5
+    many = spark.createDataFrame([(None if i % 2 else i, text(rng.randint(5, 60)), f"s{i % 3}") for i in range(90)] + rows[:1] * 2, "doc_id long, text string, source string").localCheckpoint()
+    out = corpus_pipeline.mixed(spark, many, "").collect()
+    want = corpus_pipeline.source_mix.mix(corpus_pipeline.keyed(many).withColumn("doc_id", corpus_pipeline.F.col("_key"))).collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in want)
