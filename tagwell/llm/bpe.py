@@ -1,85 +1,119 @@
-"""Byte-level BPE by overlapping chunks.
+"""Byte-level BPE by overlapping chunk encoding.
 
-A text longer than a chunk is dealt out as chunks that overlap. A pre-token boundary lies before each
-space that a non-space follows, whatever stands around them, so two neighbouring chunks, each cut into
-pre-tokens by itself, resynchronise at the first such place of their overlap. Each chunk encodes from its
-own first common boundary to the one it shares with the next, and the ids join up in chunk order. Where an overlap has no
-such place, the document is encoded in one piece. Decoding concatenates the raw bytes of the ids.
+A text is cut into chunks that overlap, and each chunk is pre-tokenised by itself. A chunk's pre-tokens may be wrong at both ends: at its start, because
+it may begin inside one, and at its end, because what follows could change them. But pre-tokens follow from their start on. So two
+neighbouring chunks resynchronise at the first boundary that both have in their overlap, as far as the left one's text decides it: from there on the right chunk's are
+those of the text. Chunks are stitched there. Where the overlap has no such boundary, it is doubled until there is one or the text ends. The pieces' pre-tokens are encoded
+each by itself, and the ids join up in order. Decoding concatenates the raw bytes of the ids.
 
-Runs between sure boundaries repeat a lot, so their ids are kept in a table of bounded size.
+Texts of more than PART code points are dealt out over all tasks in parts that overlap, by the same rule: tasks give the boundaries near both ends of their part, the
+common ones are found for each text, and tasks encode what lies between. A text with an overlap without common boundary is stitched in one task.
 
-Defined results: null and empty texts have no ids; repeated rows are encoded each; documents may have
-any id, null too; columns besides the id and the text are not read.
+Ids of pre-tokens are kept in a table of bounded size.
+
+Defined results: null and empty texts have no ids; texts of any length are encoded whole; repeated rows are encoded each; documents may have
+any id, null too; an empty table gives no row; columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagwell.llm.common import table
+from tagwell.llm.common import release, table
 
-CHUNK, OVERLAP = 65_536, 256
-KEPT_RUNS, KEPT_LENGTH = 400_000, 48
+CHUNK, OVERLAP = 8192, 64
+PART, PART_OVERLAP = 65_536, 256
+KEPT, KEPT_LENGTH = 250_000, 48
+SEEN_AHEAD = 3  # characters that a pre-token of the pattern's first alternatives needs
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-class NotSure(Exception):
-    """A cut that the text around it could move."""
-
+@lru_cache(maxsize=1)
+def pattern() -> regex.Pattern:
+    return regex.compile(public_tokenizers.PATTERN)
 
-class Runs(dict):
-    """Ids of runs between sure boundaries, as bytes; at most KEPT_RUNS of them."""
-
-    def __init__(self, encode: Callable[[str], bytes], before: str):
-        super().__init__()
-        self.encode, self.before = encode, before
-
-    def __missing__(self, run: str) -> bytes:
-        if self.before and (not run or run[0].isspace()):
-            raise NotSure
-        ids = self.encode(self.before + run)
-        if len(run) <= KEPT_LENGTH:
-            if len(self) >= KEPT_RUNS:
-                self.clear()
-            self[run] = ids
-        return ids
 
+class Chunk:
+    """The pre-tokens of text[start:end] by itself, their first places in the text, and how many of these the text beyond its end can't move (sure)."""
 
-def sure_runs(text: str) -> list[str]:
-    """Runs of the text; all but the first stand without the space that they begin with."""
-    runs: list[list[str]] = []
-    for part in text.split(" "):
-        if runs and (not part or part[0].isspace()):
-            runs[-1].append(part)
+    def __init__(self, text: str, start: int, end: int, offset: int = 0, ends_text: bool | None = None):
+        part = text[start:end]
+        self.start, self.end = start + offset, end + offset
+        self.tokens = pattern().findall(part)
+        ends = np.cumsum(np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)))
+        first = ends - np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        if ends_text if ends_text is not None else end >= len(text):
+            sure = len(first)
         else:
-            runs.append([part])
-    return [" ".join(run) for run in runs]
+            n = len(part)
+            moved = (ends >= n) | (first + SEEN_AHEAD > n) | (ends > len(part.rstrip()))  # isspace() and \s agree
+            sure = int(np.argmax(moved)) + 1 if moved.any() else len(first)
+        self.first, self.sure = first + self.start, sure
+
+    def boundaries(self, low: int, high: int) -> np.ndarray:
+        """Those from low to high that are sure if one before them is a boundary of the text."""
+        found = self.first[: self.sure]
+        return found[(found >= low) & (found <= high)]
+
+    def between(self, low: int, high: int) -> list[str]:
+        a, b = np.searchsorted(self.first, [low, high])
+        return self.tokens[a:b]
+
+
+def common(left: np.ndarray, right: np.ndarray) -> int | None:
+    both = np.intersect1d(left, right, assume_unique=True)
+    return int(both[0]) if len(both) else None
+
+
+def pre_tokens(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The text's pre-tokens, from its chunks."""
+    n = len(text)
+    chunks = [Chunk(text, at, min(n, at + size + overlap)) for at in range(0, max(1, n), size)]
+    if len(chunks) == 1:
+        return chunks[0].tokens
+    out: list[str] = []
+    left, at, k, grown = chunks[0], 0, 1, overlap
+    while k < len(chunks):
+        right = chunks[k]
+        cut = common(left.boundaries(max(at, right.start), left.end), right.boundaries(max(at, right.start), left.end))
+        if cut is not None:
+            out += left.between(at, cut)
+            left, at, k, grown = right, cut, k + 1, overlap
+        elif left.end >= right.end:
+            k += 1
+        else:
+            grown *= 2
+            left = Chunk(text, at, min(n, left.end + grown))
+    return out + left.between(at, n)
 
 
-class RunEncoder:
-    """Encodes texts run by run with any encoder of whole strings that cuts no pre-token differently at a sure boundary."""
+class Pieces(dict):
+    """Ids of pre-tokens, as bytes; at most KEPT of them."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.first, self.rest = Runs(encode, ""), Runs(encode, " ")
+    def __init__(self, encode: Callable[[bytes], list[int]]):
+        super().__init__()
+        self.encode = encode
 
-    def __call__(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
-        except NotSure:
-            first, *rest = sure_runs(text)
-            return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
+    def __missing__(self, token: str) -> bytes:
+        ids = array("I", self.encode(token.encode())).tobytes()
+        if len(token) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.clear()
+            self[token] = ids
+        return ids
 
 
 @lru_cache(maxsize=4)
@@ -89,9 +123,17 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> RunEncoder:
+def pieces(path: str) -> Pieces:
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
-    return RunEncoder(lambda run: np.array(own.encode_ordinary(run), "<u4").tobytes())
+    return Pieces(own._encode_single_piece)
+
+
+def encode_tokens(tokens: list[str], path: str) -> bytes:
+    return b"".join(map(pieces(path).__getitem__, tokens))
+
+
+def encode(text: str, path: str) -> bytes:
+    return encode_tokens(pre_tokens(text), path)
 
 
 @lru_cache(maxsize=4)
@@ -107,26 +149,10 @@ def decode(ids: bytes, path: str) -> bytes:
     return b"".join(map(token_bytes(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def resync(chunk: str, start: int, end: int) -> int | None:
-    """First sure boundary of the chunk in [start, end)."""
-    while (at := chunk.find(" ", start, end)) >= 0:
-        if at + 1 < len(chunk) and not chunk[at + 1].isspace():
-            return at
-        start = at + 1
-    return None
-
-
-def own_part(chunk: str, is_first: bool, is_last: bool, size: int, overlap: int) -> str | None:
-    """What a chunk encodes: from its first common boundary to the one shared with the next chunk."""
-    start = 0 if is_first else resync(chunk, 0, overlap)
-    end = len(chunk) if is_last else resync(chunk, size, size + overlap)
-    return None if start is None or end is None else chunk[start:end]
-
-
 def _map(df: DataFrame, schema: str, run: Callable[[list], list[list]], rows: int = 512) -> DataFrame:
     """run gets the columns of a slice as lists and returns the new columns, which follow the first."""
     kinds = T._parse_datatype_string(schema)
-    arrow = {"long": pa.int64(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+    arrow = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<bigint>": pa.list_(pa.int64())}
     target = [arrow[f.dataType.simpleString()] for f in kinds.fields]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,46 +161,64 @@ def _map(df: DataFrame, schema: str, run: Callable[[list], list[list]], rows: in
                 part = batch.slice(at, rows)
                 columns = run([c.to_pylist() for c in part.columns[1:]])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, target[1:], strict=True))], names=kinds.names)
+        release()
 
     return df.mapInArrow(go, kinds)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers as binary), one row per row of docs.
+def stitched(heads: list[list[int]], tails: list[list[int]]) -> list[int] | None:
+    """Where parts of a text are stitched, from the boundaries near their starts and ends; None if one pair has none in common."""
+    cuts = [common(np.array(tail, np.int64), np.array(head, np.int64)) for tail, head in zip(tails, heads[1:])]
+    return None if None in cuts else cuts
 
-    Texts of at most `chunk` code points are one chunk, encoded where they are read. Longer ones are dealt
-    out over all tasks by chunk.
-    """
-    path = path or public_tokenizers.path(RANKS)
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    whole = lambda columns: [[encoder(path)(text) for text in columns[0]]]
-    short = _map(docs.where(F.length("text") <= chunk), "doc_id long, ids binary", whole)
 
-    key = F.sha2("text", 256).alias("key")
-    long = docs.where(F.length("text") > chunk)
+def encode_parts(texts: DataFrame, path: str, size: int, overlap: int) -> DataFrame:
+    """key and ids of texts (key, text), each key once, dealt out in parts."""
     dealt = (
-        long.select("doc_id", key, "text", (F.floor((F.length("text") - 1) / chunk)).cast("int").alias("last"))
+        texts.select("key", "text", F.length("text").alias("n"), ((F.length("text") - 1) / size).cast("int").alias("last"))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .select("doc_id", "key", "k", "last", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap + 1})").alias("part"))
+        .select("key", "k", "last", "n", F.expr(f"substring(text, k * {size} + 1, {size + overlap})").alias("part"))
         .repartition("key", "k")
     )
 
-    def part(columns: list) -> list[list]:
-        keys, ks, lasts, parts = columns
-        own = [own_part(p, k == 0, k == last, chunk, overlap) for k, last, p in zip(ks, lasts, parts, strict=True)]
-        return [keys, ks, [None if p is None else encoder(path)(p) for p in own]]
+    def chunk(k: int, last: int, part: str) -> Chunk:
+        return Chunk(part, 0, len(part), k * size, k == last)
 
-    parts = _map(dealt, "doc_id long, key string, k int, ids binary", part, 32)
-    joined = (
-        parts.groupBy("doc_id", "key", "k").agg(F.first("ids").alias("ids"))  # repeated rows give the same parts
-        .groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-        .select("doc_id", "key", F.exists("parts", lambda p: p["ids"].isNull()).alias("unsure"), F.expr("aggregate(parts, X'', (a, p) -> a || p.ids)").alias("ids"))
-    )
-    rows = long.select("doc_id", key).alias("a").join(joined.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.key = b.key"))
-    stitched = rows.where("NOT unsure").select("a.doc_id", "b.ids")
-    unsure = joined.where("unsure").select("doc_id", "key")
-    again = long.select("doc_id", key, "text").alias("a").join(unsure.alias("b"), F.expr("a.doc_id <=> b.doc_id AND a.key = b.key"), "left_semi")
-    return short.unionByName(stitched).unionByName(_map(again.select("doc_id", "text"), "doc_id long, ids binary", whole, 8))
+    def ends(columns: list) -> list[list]:
+        ks, lasts, parts = columns
+        found = [chunk(k, last, part) for k, last, part in zip(ks, lasts, parts, strict=True)]
+        return [ks, [c.boundaries(c.start, c.start + overlap).tolist() for c in found], [c.boundaries(c.start + size, c.end).tolist() for c in found]]
+
+    near = _map(dealt.select("key", "k", "last", "part"), "key string, k int, heads array<long>, tails array<long>", ends, 16)
+    listed = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "heads", "tails"))).alias("parts"))
+    listed = listed.select("key", F.col("parts.heads").alias("heads"), F.col("parts.tails").alias("tails"))
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [stitched(heads, tails) for heads, tails in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["of", "cuts"])
+
+    cuts = listed.mapInArrow(stitch, "of string, cuts array<long>")
+    own = dealt.join(cuts, F.col("key") == F.col("of")).where("cuts IS NOT NULL")
+    own = own.select("key", "k", "last", "part", F.expr("CASE WHEN k = 0 THEN 0 ELSE element_at(cuts, k) END").cast("long").alias("low"), F.expr("CASE WHEN k = last THEN n ELSE element_at(cuts, k + 1) END").cast("long").alias("high"))
+
+    def inner(columns: list) -> list[list]:
+        return [columns[0], [encode_tokens(chunk(k, last, part).between(low, high), path) for k, last, part, low, high in zip(*columns, strict=True)]]
+
+    encoded = _map(own, "key string, k int, ids binary", inner, 16)
+    joined = encoded.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("key", F.expr("aggregate(parts, X'', (a, p) -> a || p.ids)").alias("ids"))
+    unsure = texts.join(cuts.where("cuts IS NULL"), F.col("key") == F.col("of"), "left_semi").select("key", "text")
+    return joined.unionByName(_map(unsure, "key string, ids binary", lambda c: [[encode(text, path) for text in c[0]]], 1))
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, part: int = PART, overlap: int = PART_OVERLAP) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers as binary), one row per row of docs. Texts of at most `part` code points are stitched where they are read."""
+    path = path or public_tokenizers.path(RANKS)
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    short = _map(docs.where(F.length("text") <= part), "doc_id long, ids binary", lambda columns: [[encode(text, path) for text in columns[0]]])
+    long = docs.where(F.length("text") > part).select("doc_id", F.sha2("text", 256).alias("key"), "text")
+    done = encode_parts(long.groupBy("key").agg(F.max("text").alias("text")), path, part, overlap)
+    return short.unionByName(long.select("doc_id", "key").join(done, "key").select("doc_id", "ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:

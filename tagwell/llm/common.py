@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """URI of the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and there is one machine only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _fallback:
         _fallback[key] = "file://" + tempfile.mkdtemp(prefix="tagwell-")
@@ -28,6 +32,15 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back to the system, for the worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there, so that nothing above is computed again and a lost executor loses nothing."""
     shared_dir(df.sparkSession)
@@ -42,3 +55,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sized_partitions(spark: SparkSession) -> int:
     """Shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a file or folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

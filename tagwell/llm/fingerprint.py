@@ -10,8 +10,8 @@ The fingerprint keeps the SKETCH smallest of a text's distinct names, from the l
 more; a text too short for that keeps names of the levels below. Likeness estimates the share of
 common names from two fingerprints.
 
-Defined results: null is as empty; the empty text has the empty fingerprint, like itself only; documents are ordered by
-doc_id, descending, null last, equal ids by text; a document alone is its own next; other columns are not read.
+Defined results: null is as empty; the empty text has the empty fingerprint, like itself only; texts of any length are parsed whole; repeated rows are documents each; documents are ordered by
+doc_id, descending, null last, equal ids by a hash of the text, then by text; a document alone is its own next; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tagwell.llm.common import sized_partitions, table
 
+PART_BYTES = 1 << 26
 SKETCH, BASE_LEVEL, ENOUGH, ROUNDS = 64, 3, 12, 3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -131,26 +132,39 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) dealt by descending doc_id, a partition after the other, each ending with a copy of the next one's first row (`tail`).
+    """docs (doc_id, text) dealt by descending doc_id, a partition of about PART_BYTES after the other, each ending with a copy of the next one's first row (`tail`).
 
-    Cut points and the ids of first rows, one for each partition, are all that the driver gets.
+    Ids that many rows share, and rows without one, are dealt further by hash. Cut points and the keys of first rows, one for each partition, are all that the driver gets.
     """
     spark = docs.sparkSession
-    n = sized_partitions(spark)
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []))
-    above = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(above).cast("int")
-    placed = docs.withColumn("place", place)
-    heads = sorted((r.place, r.head) for r in placed.groupBy("place").agg(F.max("doc_id").alias("head")).collect())
-    following = [(p, heads[(i + 1) % len(heads)][1]) for i, (p, _) in enumerate(heads)]
-    wanted = spark.createDataFrame(following, "tail_place int, head long")
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 11))
+    size, rows, nulls = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    n = max(sized_partitions(spark), 1 + (size or 0) // PART_BYTES)
+    found = [int(c) for c in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)] if n > 1 and rows > nulls else []
+    cuts = sorted(set(found))
+    often = {c: found.count(c) for c in cuts if found.count(c) > 1}  # ids that hold about so many partitions
+    ranges = 2 * len(cuts) + 3  # an often held id's stands before that of the ids between it and the next cut point; the last one is of rows without id
+    widths = [1] * (ranges - 1) + [max(1, -(-nulls * n // max(1, rows)))]
+    above = lambda x: sum(c >= x for c in cuts)
+    for c, times in often.items():
+        widths[2 * above(c)] = times
+    offsets = [sum(widths[:k]) for k in range(ranges)]
+    array = lambda values: F.array(*[F.lit(int(v)).cast("long") for v in values])
+    higher = F.size(F.filter(array(cuts), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
+    own = F.array_contains(array(often), F.col("doc_id")) if often else F.lit(False)
+    placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(ranges - 1)).otherwise(2 * higher + F.when(own, 0).otherwise(1)).cast("int"))
+    within = F.floor(F.col("hash") / F.lit(float(1 << 53)) * F.element_at(array(widths), F.col("range") + 1))
+    placed = placed.withColumn("place", (F.element_at(array(offsets), F.col("range") + 1) + within).cast("int")).drop("range")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), (-F.col("doc_id")).alias("down"), "hash")).alias("first")
+    heads = sorted((r.place, None if r.first.unknown else -r.first.down, r.first.hash) for r in placed.groupBy("place").agg(first).collect())
+    following = [(p, *heads[(i + 1) % len(heads)][1:]) for i, (p, _, _) in enumerate(heads)]
+    wanted = spark.createDataFrame(following, "tail_place int, head long, head_hash long")
     tails = (
-        docs.join(F.broadcast(wanted), docs["doc_id"].eqNullSafe(wanted["head"])).groupBy("tail_place").agg(F.min(F.struct("doc_id", "text")).alias("row"))
-        .select("row.doc_id", "row.text", F.col("tail_place").alias("place"), F.lit(True).alias("tail"))
+        docs.join(F.broadcast(wanted), docs["doc_id"].eqNullSafe(wanted["head"]) & (docs["hash"] == wanted["head_hash"])).groupBy("tail_place").agg(F.min(F.struct("doc_id", "text", "hash")).alias("row"))
+        .select("row.doc_id", "row.text", "row.hash", F.col("tail_place").alias("place"), F.lit(True).alias("tail"))
     )
     rows = placed.withColumn("tail", F.lit(False)).unionByName(tails)
-    return rows.repartitionById(n, F.col("place")).sortWithinPartitions("place", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    return rows.repartitionById(sum(widths), F.col("place")).sortWithinPartitions("place", "tail", F.col("doc_id").desc_nulls_last(), "hash", "text")
 
 
 def fingerprint_documents(docs: DataFrame, batch_chars: int = 1 << 20) -> DataFrame:

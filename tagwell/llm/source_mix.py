@@ -7,8 +7,9 @@ programming fills the reserve from the documents not yet taken. Which documents
 taken follows a seeded hash of doc_id: a size's documents are dealt into buckets by hash, whole buckets are taken in
 order, and only the last one is sorted, so no task holds all copies of a size.
 
-Defined results: null and empty texts have size 0 and are never taken; the null source comes last; rows with one doc_id
-and source compete like different documents; an empty table gives no row; columns besides doc_id, text and source are not read.
+Defined results: null and empty texts have size 0 and are never taken; texts of any length count whole; the null source comes last; rows with one doc_id
+and source compete like different documents, and rows without doc_id by their place in the table; equal hashes go to the smaller doc_id; an empty table gives no row; columns besides doc_id, text and
+source are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tagwell.llm.common import cut, table
 
 WEIGHTS, CAP, SEED, BUCKET_ROWS = (5, 2, 1), 3, 2, 8192
-EXACT_BUDGET = 1 << 22
+STEPS = 1 << 22
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,34 +50,53 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     )
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take for the sum nearest to budget (the lower of two), by dynamic programming over sums."""
-    taken = np.zeros(len(lengths), np.int64)
-    most = 2 * budget  # no sum at all is nearer than any above this
-    usable = [i for i in range(len(lengths)) if 0 < lengths[i] <= most and counts[i]]
+def nearest_sum(weights: np.ndarray, counts: np.ndarray, target: int, most: int) -> np.ndarray:
+    """How many of each weight to take for the sum nearest to target (the lower of two) and at most `most`, by dynamic programming over sums."""
+    taken = np.zeros(len(weights), np.int64)
+    usable = [i for i in range(len(weights)) if 0 < weights[i] <= most and counts[i]]
     reach = np.zeros(most + 1, bool)
     reach[0] = True
     by = np.full(most + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     for i in usable:
-        left, n = min(int(counts[i]), most // int(lengths[i])), 1
-        while left and not reach[budget]:
+        left, n = min(int(counts[i]), most // int(weights[i])), 1
+        while left and not reach[target]:
             n = min(n, left)
-            weight = n * int(lengths[i])
+            weight = n * int(weights[i])
             fresh = np.flatnonzero(reach[: most + 1 - weight] & ~reach[weight:]) + weight
             reach[fresh] = True
             by[fresh] = len(items)
             items.append((i, n))
             left, n = left - n, 2 * n
     sums = np.flatnonzero(reach)
-    at = int(sums[np.argmin(np.abs(sums - budget))])
+    at = int(sums[np.argmin(np.abs(sums - target))])
     while at:
         i, n = items[by[at]]
         taken[i] += n
-        at -= n * int(lengths[i])
+        at -= n * int(weights[i])
     return taken
 
 
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, steps: int = STEPS) -> np.ndarray:
+    """How many of each length to take for the sum nearest to budget (the lower of two), by dynamic programming over sums.
+
+    No sum is nearer than none at all if it is above twice the budget. If there are more than `steps` of these, lengths count in steps of several words, rounded up, so the
+    budget isn't passed; what that leaves is filled in finer steps from the lengths that are left, down to single words.
+    """
+    taken = np.zeros(len(lengths), np.int64)
+    while (step := -(-2 * budget // steps)) > 1:
+        some = nearest_sum(-(-lengths // step), counts - taken, budget // step, budget // step)
+        gained = sum(int(a) * int(b) for a, b in zip(lengths, some, strict=True))
+        if not gained:  # all that is left is longer, or as good as
+            left = np.flatnonzero((counts > taken) & (lengths > 0))
+            if len(left) and abs(int(lengths[i := left[np.argmin(np.abs(lengths[left] - budget))]]) - budget) < budget:
+                taken[i] += 1
+            return taken
+        taken += some
+        budget -= gained
+    return taken + nearest_sum(lengths, counts - taken, budget, 2 * budget)
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, cap: int = CAP) -> tuple[int, np.ndarray]:
     """How often all documents are taken, and how many of each length once more.
 
@@ -89,7 +109,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, cap: int
     budget = round(target)
     whole = min(cap, budget // total)
     rest = budget - whole * total if whole < cap else 0
-    reserve = min(2 * int(lengths.max()), EXACT_BUDGET)
+    reserve = 2 * int(lengths.max())
     for i, (a, b) in enumerate(zip(lengths, counts, strict=True)):
         extra[i] = int(b) * max(0, rest - reserve) // total if a else 0
     rest -= sum(int(a) * int(b) for a, b in zip(lengths, extra, strict=True))
@@ -102,7 +122,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, target: float, cap: int
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target and taken: the words that the mix takes of each document, repeats counted."""
-    sizes = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size")))
+    sizes = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.monotonically_increasing_id().alias("place")))
     targets = source_targets(sizes, weights, cap)
     counts = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     known = counts.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -113,7 +133,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> D
         return rows.assign(whole=whole, extra=extra)
 
     plans = cut(known.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, whole long, extra long"))
-    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("place"))), 11) / F.lit(float(1 << 53))
     rows = (
         sizes.join(plans.withColumnsRenamed({"source": "of", "size": "of_size"}), F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size"))).drop("of", "of_size")
         .withColumn("share", share).withColumn("bucket", F.floor(F.col("share") * F.ceil(F.col("n") / BUCKET_ROWS)))
@@ -127,7 +147,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> D
     )
     placed = rows.where(partly).join(buckets, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")) & (F.col("bucket") == F.col("of_bucket")))
     clear = placed.where("room <= 0 OR room >= held").withColumn("more", (F.col("room") > 0).cast("long"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("share", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("share", "doc_id", "place"))
     split = placed.where("room > 0 AND room < held").withColumn("more", (rank <= F.col("room")).cast("long"))
     sure = rows.where(~partly).withColumn("more", (F.col("extra") > 0).cast("long"))
     columns = ("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).alias("taken"))

@@ -1,16 +1,16 @@
 """Token ids in binary files of independent zstandard frames.
 
-A file is a run of zstandard frames, each with the ids of whole documents, then a skippable frame with the
+A file is a run of zstandard frames, each with the ids of one document, then a skippable frame with the
 document index (ids, lengths), then the seek table of zstandard's seekable format: for each frame its
 compressed and uncompressed size and a checksum, the low 32 bits of the xxh64 of the uncompressed bytes. A reader
-takes the two tables from the file's end and decompresses only the frames that hold requested documents.
+takes the two tables from the file's end and decompresses the frames of requested documents only.
 
-Documents are dealt by range of doc_id, so file after file they ascend. Files are written under a name of
-their own and renamed, so a repeated task leaves the same bytes. Ids take 2 bytes where the vocabulary
+Documents are dealt by range of doc_id, so file after file they ascend; files hold about SHARD_BYTES of text each. A task writes frame after frame and
+keeps the tables only. Files are written under a name of their own and renamed, so a repeated task leaves the same bytes. Ids take 2 bytes where the vocabulary
 allows it.
 
-Defined results: null and empty texts hold the end id only; null doc_ids come first; repeated rows are
-written each, equal ids by text; an empty table gives no file and no row; other columns are not read.
+Defined results: null and empty texts hold the end id only; texts of any length are one frame; null doc_ids come first; repeated rows are
+written each, equal ids by a hash of the text, and however many there are, they are dealt over several files; an empty table gives no file and no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +18,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import ExitStack
 from functools import lru_cache
+from itertools import islice
+from typing import BinaryIO
 
 import numpy as np
 import public_tokenizers
@@ -30,56 +34,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagwell.llm import files
-from tagwell.llm.bpe import KEPT_LENGTH, RunEncoder
-from tagwell.llm.common import cut, shared_dir, sized_partitions, table
+from tagwell.llm.common import cut, release, shared_dir, sized_partitions, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-FRAME_BYTES = 1 << 17
-SLICE, KEPT_RUNS = 128, 1_200_000
+SHARD_BYTES, READ_BYTES, READ_ROWS = 1 << 26, 1 << 20, 4096
+SLICE, KEPT_RUNS, KEPT_LENGTH = 128, 1_200_000, 48
 #: Fixed values of zstandard's skippable frames and seekable format.
 SKIPPABLE_MAGIC, INDEX_MAGIC, SEEK_FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 INDEX_TAIL = "<QB"
 
 
 class Writer:
-    """One file's bytes, from documents in order."""
+    """Writes documents to an open file, in order, a frame each."""
 
-    def __init__(self, width: int, frame_bytes: int = FRAME_BYTES, level: int = 1):
-        self.dtype, self.frame_bytes = f"<u{width}", frame_bytes
+    def __init__(self, out: BinaryIO, width: int, level: int = 1):
+        self.out, self.dtype = out, f"<u{width}"
         self.pack = zstandard.ZstdCompressor(level=level)
-        self.out, self.seek, self.held, self.size = [], [], [], 0
-        self.ids, self.known, self.lengths, self.frame_of = [], [], [], []
+        self.seek, self.ids, self.known, self.lengths = bytearray(), array("q"), array("B"), array("Q")
 
     def add(self, doc_id: int | None, tokens: np.ndarray) -> None:
         data = tokens.astype(self.dtype).tobytes()
+        packed = self.pack.compress(data)
+        self.out.write(packed)
+        self.seek += struct.pack("<III", len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF)
         self.ids.append(doc_id or 0)
         self.known.append(doc_id is not None)
         self.lengths.append(len(tokens))
-        self.frame_of.append(len(self.seek))
-        self.held.append(data)
-        self.size += len(data)
-        if self.size >= self.frame_bytes:
-            self._flush()
-
-    def _flush(self) -> None:
-        data = b"".join(self.held)
-        packed = self.pack.compress(data)
-        self.out.append(packed)
-        self.seek.append(struct.pack("<III", len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
-        self.held, self.size = [], 0
-
-    def finish(self) -> bytes:
-        if self.held:
-            self._flush()
-        index = np.array(self.ids, "<i8").tobytes() + np.array(self.known, "<u1").tobytes() + np.array(self.lengths, "<u8").tobytes() + np.array(self.frame_of, "<u4").tobytes()
+
+    def finish(self) -> None:
+        index = b"".join(np.array(column, kind).tobytes() for column, kind in ((self.ids, "<i8"), (self.known, "<u1"), (self.lengths, "<u8")))
         index = self.pack.compress(index) + struct.pack(INDEX_TAIL, len(self.ids), int(self.dtype[-1]))
-        table = b"".join(self.seek) + struct.pack("<IBI", len(self.seek), CHECKSUM_FLAG, SEEK_FOOTER_MAGIC)
-        return b"".join([*self.out, struct.pack("<II", INDEX_MAGIC, len(index)), index, struct.pack("<II", SKIPPABLE_MAGIC, len(table)), table])
+        table = bytes(self.seek) + struct.pack("<IBI", len(self.ids), CHECKSUM_FLAG, SEEK_FOOTER_MAGIC)
+        self.out.write(b"".join([struct.pack("<II", INDEX_MAGIC, len(index)), index, struct.pack("<II", SKIPPABLE_MAGIC, len(table)), table]))
 
 
 class Reader:
-    """Reads documents from a file; only the frames that hold them are read and decompressed."""
+    """Reads documents from a file; only the frames of those that are wanted are decompressed."""
 
     def __init__(self, uri: str):
         fs, path = files.resolve(uri)
@@ -89,7 +80,7 @@ class Reader:
         if magic != SEEK_FOOTER_MAGIC:
             raise ValueError(f"{uri} has no seek table")
         seek = np.frombuffer(self._at(end - 9 - 12 * n, 12 * n), "<u4").reshape(n, 3)
-        self.sizes, self.sums = seek[:, 0].astype(np.int64), seek[:, 2]
+        self.sizes, self.raw_sizes, self.sums = seek[:, 0].astype(np.int64), seek[:, 1], seek[:, 2]
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         at = int(self.starts[-1])
         _, size = struct.unpack("<II", self._at(at, 8))
@@ -97,33 +88,90 @@ class Reader:
         tail = struct.calcsize(INDEX_TAIL)
         count, width = struct.unpack(INDEX_TAIL, index[-tail:])
         self.unpack = zstandard.ZstdDecompressor()
-        raw = self.unpack.decompress(index[:-tail], max_output_size=21 * count + 1)
+        raw = self.unpack.decompress(index[:-tail], max_output_size=17 * count + 1)
         self.dtype = f"<u{width}"
         self.doc_ids, self.known = np.frombuffer(raw, "<i8", count), np.frombuffer(raw, "<u1", count, 8 * count).astype(bool)
-        self.lengths, self.frame_of = np.frombuffer(raw, "<u8", count, 9 * count).astype(np.int64), np.frombuffer(raw, "<u4", count, 17 * count)
-        self.raw_sizes = seek[:, 1]
+        self.lengths = np.frombuffer(raw, "<u8", count, 9 * count).astype(np.int64)
 
     def _at(self, start: int, size: int) -> bytes:
         self.file.seek(start)
         return self.file.read(size)
 
-    def frame(self, k: int) -> np.ndarray:
-        data = self.unpack.decompress(self._at(int(self.starts[k]), int(self.sizes[k])), max_output_size=int(self.raw_sizes[k]) or 1)
+    def frame(self, k: int, packed: bytes) -> np.ndarray:
+        data = self.unpack.decompress(packed, max_output_size=int(self.raw_sizes[k]) or 1)
         if xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != self.sums[k]:
             raise ValueError(f"frame {k} is damaged")
         return np.frombuffer(data, self.dtype)
 
+    def places(self, wanted: Iterable[int]) -> np.ndarray:
+        """Places in the file of the documents with these doc_ids, which ascend behind those without one."""
+        first = int((~self.known).sum())
+        ids = self.doc_ids[first:]
+        found = [np.arange(*np.searchsorted(ids, [w, w + 1])) for w in sorted(set(wanted))]
+        return first + np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
+
     def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
-        """Documents by place in the file, all of them by default."""
-        places = np.arange(len(self.lengths)) if wanted is None else np.asarray(list(wanted), np.int64)
-        before = np.concatenate([[0], np.cumsum(self.lengths)])
-        held, ids, base = -1, None, 0
-        for i in places:
-            if (k := int(self.frame_of[i])) != held:
-                held, ids = k, self.frame(k)
-                base = before[np.searchsorted(self.frame_of, k)]
-            start = before[i] - base
-            yield int(self.doc_ids[i]) if self.known[i] else None, ids[start : start + self.lengths[i]]
+        """doc_id and ids of the documents with the wanted doc_ids, all by default, in order; neighbours are read from the file at once."""
+        places = np.arange(len(self.lengths)) if wanted is None else self.places(wanted)
+        at = 0
+        while at < len(places):
+            low = int(places[at])
+            end = at + 1
+            while end < len(places) and places[end] == places[end - 1] + 1 and self.starts[places[end] + 1] - self.starts[low] <= READ_BYTES:
+                end += 1
+            base = int(self.starts[low])
+            held = memoryview(self._at(base, int(self.starts[places[end - 1] + 1]) - base))
+            for k in places[at:end]:
+                yield int(self.doc_ids[k]) if self.known[k] else None, self.frame(k, held[int(self.starts[k]) - base : int(self.starts[k + 1]) - base])
+            at = end
+
+
+class NotSure(Exception):
+    """A cut that the text around it could move."""
+
+
+class Runs(dict):
+    """Ids of runs between sure boundaries (before a space that a non-space follows), as bytes; at most KEPT_RUNS of them."""
+
+    def __init__(self, encode: Callable[[str], bytes], before: str):
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, run: str) -> bytes:
+        if self.before and (not run or run[0].isspace()):
+            raise NotSure
+        ids = self.encode(self.before + run)
+        if len(run) <= KEPT_LENGTH:
+            if len(self) >= KEPT_RUNS:
+                self.clear()
+            self[run] = ids
+        return ids
+
+
+def sure_runs(text: str) -> list[str]:
+    """Runs of the text; all but the first stand without the space that they begin with."""
+    runs: list[list[str]] = []
+    for part in text.split(" "):
+        if runs and (not part or part[0].isspace()):
+            runs[-1].append(part)
+        else:
+            runs.append([part])
+    return [" ".join(run) for run in runs]
+
+
+class RunEncoder:
+    """Encodes texts run by run with any encoder of whole strings that cuts no pre-token differently at a sure boundary."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.first, self.rest = Runs(encode, ""), Runs(encode, " ")
+
+    def __call__(self, text: str) -> bytes:
+        first, *rest = text.split(" ")
+        try:
+            return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
+        except NotSure:
+            first, *rest = sure_runs(text)
+            return self.first[first] + b"".join(map(self.rest.__getitem__, rest))
 
 
 class Encoder:
@@ -173,32 +221,38 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_token_files(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_ID, partitions: int | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+def write_token_files(docs: DataFrame, uri: str, path: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """Encode docs (doc_id, text) and write them under uri, ascending by doc_id; returns the files: shard, uri, n_docs, n_tokens."""
     path = path or public_tokenizers.path(VOCABULARY)
-    n = partitions or sized_partitions(docs.sparkSession)
-    dealt = (
-        docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-        .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    )
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    if partitions is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(sized_partitions(docs.sparkSession), 1 + size // SHARD_BYTES)
+    keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())  # however many rows are equal, they can be dealt out
+    dealt = keyed.repartitionByRange(partitions, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, writer, n_tokens = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            encode = encoder(path)
-            writer = writer or Writer(2 if max(encode.size, end_id + 1) <= 1 << 16 else 4, frame_bytes)
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    tokens = np.append(ids, np.uint32(end_id))
-                    n_tokens += len(tokens)
-                    writer.add(doc_id, tokens)
-        if writer is not None and writer.ids:
-            name = f"{uri}/shard-{shard:06d}.tok.zst"
-            files.write_once(name, writer.finish())
+        shard, n_tokens = TaskContext.get().partitionId(), 0
+        name = f"{uri}/shard-{shard:06d}.tok.zst"
+        with ExitStack() as stack:
+            writer = None
+            for batch in batches:
+                encode = encoder(path)
+                if writer is None and batch.num_rows:
+                    writer = Writer(stack.enter_context(files.written_once(name)), 2 if max(encode.size, end_id + 1) <= 1 << 16 else 4)
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                        tokens = np.append(ids, np.uint32(end_id))
+                        n_tokens += len(tokens)
+                        writer.add(doc_id, tokens)
+            if writer is not None:
+                writer.finish()
+        if writer is not None:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [name], "n_docs": pa.array([len(writer.ids)], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
+        release()
 
     return dealt.mapInArrow(run, "shard int, uri string, n_docs long, n_tokens long")
 
@@ -211,11 +265,13 @@ def read_token_files(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reader = Reader(name)
-                rows = [(doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc_id, ids in reader.documents()]
-                ids, sizes, sums = zip(*rows, strict=True)
-                starts = start + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts.astype(np.int64)), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = Reader(name).documents()
+                while part := list(islice(found, READ_ROWS)):
+                    sizes = np.array([len(ids) for _, ids in part], np.int64)
+                    sums = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in part]
+                    ends = start + np.cumsum(sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id for doc_id, _ in part], pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    start = int(ends[-1])
 
     spread = placed.repartition(sized_partitions(shards.sparkSession), "uri")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

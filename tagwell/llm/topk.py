@@ -1,34 +1,47 @@
 """Exact top-k by inner product, by a three-phase uniform threshold.
 
 Vectors are cut into SLICES runs of components; a block of candidates holds, for each query, a list of partial scores for each slice.
-1. Each block sends the totals of the candidates that lead its local lists; the k-th best of all that is sent is a safe
+1. Each task gathers the leaders of the lists of its first block and sends the k best of their totals; the k-th best of all that is sent is a safe
    cutoff, for no query's k-th score is below it.
-2. Blocks get the cutoffs. A total at the cutoff or above needs, in some slice, at least the lowest partial score there plus an equal
+2. All blocks get the cutoffs. A total at the cutoff or above needs, in some slice, at least the lowest partial score there plus an equal
    share of what the cutoff is above the sum of the lowest; only such entries are collected.
-3. Their totals are resolved exactly, and each block sends its k best at or above the cutoff, from which the k best are taken.
+3. Their totals are resolved exactly. A task keeps the k best of each query over its blocks, and raises its own cutoff with them; these lists are all that
+   moves, and the k best of them are the result.
 
-Queries meet candidates in blocks, dealt over all tasks; nothing is broadcast. Components are integers, and sums are exact: in 32-bit floats as
-long as they stay below 2^24, in 64-bit ones below 2^53, otherwise in Python's integers.
+Candidates stay where they are. Queries go to them in chunks of at most QUERY_BYTES, one after another, whose result is written to the shared folder. Components are integers, and
+sums are exact: in 32-bit floats as long as they stay below 2^24, in 64-bit ones below 2^53, otherwise in Python's integers.
 
 Defined results: vectors that are null, or hold null or a component that isn't finite, and rows without vec_id take no part; vectors of
 different length don't meet; a row is a candidate for all queries but itself, so copies of it under its own vec_id are; ties go to the
-smaller vec_id; fewer candidates than k give all; other columns are not read.
+smaller vec_id; fewer candidates than k give all; a score beyond 64 bits counts as the largest or smallest number of 64 bits; vectors of any length are compared
+whole; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagwell.llm.common import cut, sized_partitions, table
+from tagwell.llm.common import cut, release, shared_dir, table
 
 K, SLICES, SCALE, EVERY = 20, 4, 64, 20
-ROWS, QUERY_ROWS, AT_ONCE = 4096, 2048, 256
+ROWS, AT_ONCE = 4096, 256
+BLOCK_BYTES, QUERY_BYTES = 1 << 22, 1 << 23
+HELD = 1 << 20
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 BLOCK = "block long, dim int, ids binary, rows binary, vectors binary"
+LISTS = "query long, query_id long, vec_id long, score long"
+
+
+def rows_of(dim: int) -> int:
+    """Vectors of a block."""
+    return max(1, min(ROWS, BLOCK_BYTES // (8 * max(dim, 1))))
 
 
 def number_type(most: float, dim: int) -> type:
@@ -37,8 +50,8 @@ def number_type(most: float, dim: int) -> type:
     return np.float32 if total < 1 << 24 else np.float64 if total < 1 << 53 else object
 
 
-def pack(vectors: DataFrame, rows: int = ROWS) -> DataFrame:
-    """Blocks of up to `rows` vectors of one length, from vec_id and v (array of doubles, rounded down); each vector gets a row number of its own."""
+def pack(vectors: DataFrame) -> DataFrame:
+    """Blocks of vectors of one length, from vec_id and v (array of doubles, rounded down); each vector gets a row number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -59,7 +72,7 @@ def pack(vectors: DataFrame, rows: int = ROWS) -> DataFrame:
                 v = v.values.to_numpy(zero_copy_only=False)
                 part = held.setdefault(len(v), [])
                 part.append((vec_id, v))
-                if len(part) >= rows:
+                if len(part) >= rows_of(len(v)):
                     yield give(len(v), part)
                     held[len(v)] = []
         for dim, part in held.items():
@@ -77,8 +90,8 @@ def chosen(blocks: DataFrame, every: int) -> DataFrame:
             for block, dim, ids, rows, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, rows = np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64)
                 vectors, own = np.frombuffer(vectors).reshape(len(ids), dim), ids % every == 0
-                for at in range(0, int(own.sum()), QUERY_ROWS):
-                    here = np.flatnonzero(own)[at : at + QUERY_ROWS]
+                if own.any():
+                    here = np.flatnonzero(own)
                     yield pa.RecordBatch.from_arrays([pa.array([int(rows[here[0]])]), pa.array([dim], pa.int32()), *(pa.array([x[here].tobytes()], pa.binary()) for x in (ids, rows, vectors))], names=["block", "dim", "ids", "rows", "vectors"])
 
     return blocks.mapInArrow(run, BLOCK)
@@ -109,70 +122,91 @@ def leaders(parts: np.ndarray, k: int) -> np.ndarray:
 def reaching(parts: np.ndarray, cutoffs: np.ndarray) -> np.ndarray:
     """Which entries may have a total at or above their query's cutoff, by the uniform threshold on each slice."""
     least = parts.min(2)
-    share = (cutoffs - least.sum(0)) / len(parts)
-    return (parts - least[:, :, None] >= np.floor(share)[None, :, None]).any(0)
-
-
-def best(totals: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    order = sorted(range(len(ids)), key=lambda i: (-totals[i], ids[i])) if totals.dtype == object else np.lexsort((ids, -totals))
-    return np.array(order[:k], np.int64)
-
-
-def met(queries: DataFrame, blocks: DataFrame, cutoffs: bool, k: int) -> DataFrame:
-    """query (row number), query_id, vec_id and score: of each query and block the leaders' k best, or with cutoffs the k best that reach them."""
-    n = sized_partitions(blocks.sparkSession)
-    salted = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(n)))
-    marks = queries.select(F.col("block").alias("query_block"), F.col("dim").alias("of_dim"))
-    left = salted.join(marks, F.col("dim") == F.col("of_dim")).select("query_block", "salt", "ids", "rows", "vectors", "dim")
-    right = queries.select(F.col("block").alias("of"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"), (F.col("cutoffs") if cutoffs else F.lit(None).cast("binary")).alias("cutoffs"))
-    right = right.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = left.join(right, (F.col("query_block") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).select("dim", "ids", "rows", "vectors", "q_ids", "q_rows", "q_vectors", "cutoffs")
+    if parts.dtype == object:
+        share = [(int(c) - int(sum(least[:, q]))) // len(parts) for q, c in enumerate(cutoffs)]
+        return np.array([[[p >= m + s for p in row] for row, m, s in zip(slice_, low, share, strict=True)] for slice_, low in zip(parts, least, strict=True)], bool).any(0)
+    share = np.floor((cutoffs.astype(np.float64) - least.sum(0, dtype=np.float64)) / len(parts)) - 1
+    out = np.zeros(parts.shape[1:], bool)
+    for scores, low in zip(parts, least, strict=True):
+        out |= scores >= (low + share)[:, None]
+    return out
+
+
+def totals(parts: np.ndarray, query: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Exact totals of these entries."""
+    found = parts[:, query, vector]
+    if parts.dtype == object:
+        return np.array([min(max(int(x), LOWEST), HIGHEST) for x in found.sum(0)], np.int64)
+    return found.astype(np.float64).sum(0).astype(np.int64)
+
+
+class Best:
+    """The k best entries of each query so far, and the cutoffs that follow: the k-th score, or the given one if it is higher."""
+
+    def __init__(self, cutoffs: np.ndarray, k: int):
+        self.cutoffs, self.k, self.size = cutoffs.copy(), k, 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        ok = scores >= self.cutoffs[query]
+        if ok.any():
+            self.held.append((query[ok], ids[ok], scores[ok]))
+            self.size += int(ok.sum())
+        if self.size > HELD:
+            self.prune()
+
+    def prune(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ids, scores = (np.concatenate(c) for c in zip(*self.held, strict=True)) if self.held else (np.empty(0, np.int64),) * 3
+        order = np.lexsort((ids, ~scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        at = np.arange(len(query))
+        rank = at - np.maximum.accumulate(np.where(np.concatenate([[True], query[1:] != query[:-1]]), at, 0)) if len(at) else at
+        last = rank == self.k - 1
+        self.cutoffs[query[last]] = np.maximum(self.cutoffs[query[last]], scores[last])
+        keep = rank < self.k
+        self.held, self.size = [(query[keep], ids[keep], scores[keep])], int(keep.sum())
+        return self.held[0]
+
+
+def local_lists(blocks: DataFrame, queries: Broadcast, k: int, cutoffs: Broadcast | None) -> DataFrame:
+    """Each task's k best entries for each query of a chunk (dim, ids, rows, vectors): without cutoffs of the leaders in its first block, with them of all that reach them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim, q_ids, q_rows, q_vectors = queries.value
+        best = Best(cutoffs.value if cutoffs else np.full(len(q_ids), LOWEST), k)
+        done = False
         for batch in batches:
-            for i in range(batch.num_rows):
-                dim, ids, rows, vectors, q_ids, q_rows, q_vectors, limits = (c[i].as_py() for c in batch.columns)
-                ids, rows, q_ids, q_rows = (np.frombuffer(x, np.int64) for x in (ids, rows, q_ids, q_rows))
-                vectors, q_vectors = np.frombuffer(vectors).reshape(len(ids), dim), np.frombuffer(q_vectors).reshape(len(q_ids), dim)
-                limits = None if limits is None else np.frombuffer(limits)
+            for i in range(0 if done else batch.num_rows):
+                if batch.column(1)[i].as_py() != dim:
+                    continue
+                ids, rows = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in (2, 3))
+                vectors = np.frombuffer(batch.column(4)[i].as_py()).reshape(len(ids), dim)
                 for at in range(0, len(q_ids), AT_ONCE):
                     here = slice(at, at + AT_ONCE)
                     parts = partial_scores(q_vectors[here], vectors)
-                    lead = leaders(parts, k + 1) if limits is None else reaching(parts, limits[here])
-                    lead &= q_rows[here][:, None] != rows[None, :]
-                    totals, out = parts.sum(0), []
-                    for j in range(len(totals)):
-                        found = np.flatnonzero(lead[j])
-                        if limits is not None:
-                            found = found[totals[j, found] >= limits[at + j]]
-                        found = found[best(totals[j, found], ids[found], k)]
-                        out.append((np.full(len(found), q_rows[at + j]), np.full(len(found), q_ids[at + j]), ids[found], [int(x) for x in totals[j, found]]))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]).astype(np.int64)) for c in range(3)] + [pa.array([x for o in out for x in o[3]], pa.int64())], names=["query", "query_id", "vec_id", "score"])
-
-    return pairs.mapInArrow(run, "query long, query_id long, vec_id long, score long")
-
-
-def with_cutoffs(queries: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """Query blocks with the k-th best score of the lists for each query; lowest where there are fewer."""
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc()))
-    cutoffs = lists.withColumn("rank", rank).where(F.col("rank") == k).select("query", "score")
-
-    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = np.frombuffer(rows, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array(np.arange(len(rows))), pa.array(rows)], names=["of", "place", "row"])
-
-    placed = queries.select("block", "rows").mapInArrow(numbers, "of long, place long, row long")
-    lowest = F.lit(-float("inf"))
-    gathered = placed.join(cutoffs, F.col("row") == F.col("query"), "left").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce(F.col("score").cast("double"), lowest).alias("score")))).alias("list"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array([x["score"] for x in row], np.float64).tobytes() for row in batch.column(1).to_pylist()], pa.binary())], names=["of", "cutoffs"])
-
-    return queries.join(gathered.mapInArrow(packed, "of long, cutoffs binary"), F.col("block") == F.col("of")).drop("of")
+                    entries = reaching(parts, best.cutoffs[here]) if cutoffs else leaders(parts, k + 1)
+                    entries &= q_rows[here][:, None] != rows[None, :]
+                    query, vector = np.nonzero(entries)
+                    best.add(at + query, ids[vector], totals(parts, query, vector))
+                done = cutoffs is None
+        query, ids, scores = best.prune()
+        yield pa.RecordBatch.from_arrays([pa.array(q_rows[query]), pa.array(q_ids[query]), pa.array(ids), pa.array(scores)], names=["query", "query_id", "vec_id", "score"])
+        release()
+
+    return blocks.mapInArrow(run, LISTS)
+
+
+def chunks(queries: DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Query vectors of one length, QUERY_BYTES at most: dim, ids, rows and vectors. The driver holds one chunk and one block."""
+    held: list[tuple] = []
+    for r in queries.orderBy("dim").toLocalIterator():
+        one = r.dim, np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64), np.frombuffer(r.vectors).reshape(-1, r.dim) if r.dim else np.zeros((len(r.ids) // 8, 0))
+        if held and (held[0][0] != r.dim or sum(h[3].nbytes + h[1].nbytes for h in held) + one[3].nbytes + one[1].nbytes > QUERY_BYTES):
+            yield held[0][0], *(np.concatenate([h[c] for h in held]) for c in (1, 2, 3))
+            held = []
+        held.append(one)
+    if held:
+        yield held[0][0], *(np.concatenate([h[c] for h in held]) for c in (1, 2, 3))
 
 
 def search(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
@@ -182,10 +216,21 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = S
     clean = embeddings.where(embeddings["embedding"].isNotNull() & embeddings["vec_id"].isNotNull() & ~bad).select(embeddings["vec_id"].cast("long").alias("vec_id"), v.alias("v"))
     blocks = cut(pack(clean))
     queries = cut(chosen(blocks, every))
-    lists = met(queries, blocks, False, k)
-    known = cut(with_cutoffs(queries, lists, k))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
-    return met(known, blocks, True, k).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = embeddings.sparkSession
+    base, n = f"{shared_dir(spark)}/topk-{uuid.uuid4().hex}", 0
+    in_order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    for chunk in chunks(queries):
+        sent = spark.sparkContext.broadcast(chunk)
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc()))
+        known = {r.query: r.score for r in local_lists(blocks, sent, k, None).withColumn("rank", rank).where(F.col("rank") == k).select("query", "score").toLocalIterator()}  # a row for each query of the chunk
+        cutoffs = spark.sparkContext.broadcast(np.array([known.get(int(row), LOWEST) for row in chunk[2]], np.int64))
+        found = local_lists(blocks, sent, k, cutoffs).withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
+        found.select("query_id", "rank", "vec_id", "score").write.parquet(f"{base}/{n}")
+        n += 1
+        sent.unpersist()
+        cutoffs.unpersist()
+    result = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(result).parquet(*[f"{base}/{i}" for i in range(n)]) if n else spark.createDataFrame([], result)
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

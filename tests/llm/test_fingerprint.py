@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from tagwell.llm import fingerprint as fp
 
@@ -72,13 +73,14 @@ def test_equal_substrings_share_names_wherever_they_stand():
 @pytest.mark.parametrize("partitions", [1, 4])
 def test_query_against_brute_force(spark, partitions):
     rows = [(i * 3, t, "x") for i, t in enumerate(texts())] + [(None, None, "y"), (None, "zz", "y"), (9, "again", "y"), (9, "again", "y")]
+    rows += [(12, f"often {i}", "z") for i in range(70)] + [(None, f"none {i} " * i, "z") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tail string").repartition(3)
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         got = fp.fingerprint_documents(docs, batch_chars=2000).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
-    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), xxhash.xxh64_intdigest(r[1].encode(), 42) >> 11, r[1]))
     want = []
     for k, (i, t) in enumerate(order):
         u = order[(k + 1) % len(order)][1]

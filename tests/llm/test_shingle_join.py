@@ -54,7 +54,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_against_all_pairs(spark, seed, monkeypatch):
-    for name, value in (("TILE_POSTINGS", 900), ("TILE_CLASSES", 7), ("CHECKED_AT_ONCE", 50), ("NEAREST", 2), ("WIDER", 3), ("BLOCK_TOKENS", 5000)):
+    for name, value in (("TILE_POSTINGS", 900), ("TILE_CLASSES", 20), ("BLOCK_CLASSES", 7), ("PIVOT_CLASSES", 3), ("COUNT_SHINGLES", 5000)):
         monkeypatch.setattr(sj, name, value)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, n int").repartition(3)
@@ -64,7 +64,7 @@ def test_components_against_all_pairs(spark, seed, monkeypatch):
 
 @pytest.mark.parametrize("classes", [7, 1024])
 def test_number_of_links_against_all_pairs(spark, classes, monkeypatch):
-    monkeypatch.setattr(sj, "LINK_CLASSES", classes)
+    monkeypatch.setattr(sj, "BLOCK_CLASSES", classes)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(90)]
     rows = corpus(3) + [(20_000 + i, " ".join(w if rng.random() > 0.02 else f"{w}x{i}" for w in base)) for i in range(150)]  # one group of different near copies
@@ -72,11 +72,14 @@ def test_number_of_links_against_all_pairs(spark, classes, monkeypatch):
     link = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= 75 * len(x | y)
     want = sorted(((d, sum(link(s, o) for k, o in enumerate(sets) if k != i)) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted((tuple(r) for r in sj.count_links(docs).collect()), key=str) == want
+    got = sj.join_documents(docs, links=True)
+    assert sorted(((r.doc_id, r.n_links) for r in got.collect()), key=str) == want
+    assert sorted((tuple(r) for r in got.drop("n_links").collect()), key=str) == brute(rows)
 
 
 def test_empty_table(spark):
-    assert sj.join_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert sj.join_documents(empty).collect() == [] and sj.join_documents(empty, links=True).collect() == []
 
 
 def test_bounds():
@@ -86,7 +89,9 @@ def test_bounds():
             assert not can or abs(sj.band_of(n) - sj.band_of(m)) <= 1
             if can:
                 need = next(i for i in range(n + 1) if 100 * i >= 75 * (n + m - i))
-                assert sj.least_overlap(n, m) == need and n - need + 1 <= sj.short_prefix(n) and m - need + 1 <= sj.prefix(m)
+                shared = min(sj.more(n), sj.more(m)) + 1
+                assert sj.least_overlap(n, m) == need and n - need + shared <= sj.short_prefix(n) and m - need + shared <= sj.prefix(m)
+                assert shared >= sj.least_shared(n) and shared >= sj.least_shared(m) and sj.prefix(m) <= max(m, 1)
 
 
 def test_bits_bound_the_overlap():
@@ -98,6 +103,20 @@ def test_bits_bound_the_overlap():
     assert (sj.fold(sj.bitmap(x, 1024), 256) == p).all() and sj.linked(x, x) and not sj.linked(x, y)
 
 
+def test_links_of_a_block_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(sj, "SLICE_BITS", 64)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 120, np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(60, 121)], rng.integers(0, 1 << 62, rng.integers(0, 30), np.uint64)])) for _ in range(60)]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if sj.linked(sets[i], sets[j])}
+    x, y = sj.links_within(sets, 60, True, 256)
+    assert set(zip(x.tolist(), y.tolist())) == want and len(x) == len(want) > 20
+    x, y = sj.links_within(sets, 25, False, 256)
+    assert set(zip(x.tolist(), y.tolist())) == {(i, j) for i, j in want if i < 25 <= j}
+    x, y = sj.links_within(sets, 60, True, 64, np.arange(60) % 3)
+    assert set(zip(x.tolist(), y.tolist())) == {(i, j) for i, j in want if i % 3 != j % 3}
+
+
 def test_connected_components(spark):
     rng = random.Random(6)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]

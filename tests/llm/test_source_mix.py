@@ -71,3 +71,37 @@ def test_mix(docs, monkeypatch):
 def test_empty_table(docs):
     assert sm.mix(docs.where("false")).collect() == []
     assert [r.taken for r in sm.mix(docs.where("doc_id = 2001")).collect()] == [0]
+
+
+def test_knapsack_in_steps_comes_as_near():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        lengths = np.sort(rng.choice(np.arange(1, 5000), 12, False))[::-1]
+        counts = rng.integers(0, 9, 12)
+        budget = int(rng.integers(0, 30_000))
+        exact, coarse = sm.knapsack(lengths, counts, budget), sm.knapsack(lengths, counts, budget, 500)
+        assert ((coarse >= 0) & (coarse <= counts)).all()
+        assert abs(int(lengths @ coarse) - budget) <= abs(int(lengths @ exact) - budget) + lengths.max()
+    many = np.arange(1, 400)
+    for budget in (777, 12_345, 99_999):
+        assert many @ sm.knapsack(many, np.full(399, 5), budget, 200) == budget
+    assert sm.knapsack(np.array([900]), np.array([1]), 800, 100).tolist() == [1] and sm.knapsack(np.array([900]), np.array([1]), 400, 100).tolist() == [0]
+
+
+def test_reserve_follows_the_longest_document():
+    lengths, counts = np.array([9_000_000, 4_000_000, 700, 31]), np.array([3, 5, 4000, 9000])
+    total = int(lengths @ counts)
+    whole, extra = sm.fit_budget(lengths, counts, total * 0.37)
+    assert whole == 0 and (extra <= counts).all() and abs(int(lengths @ extra) - round(total * 0.37)) <= 31
+
+
+def test_many_rows_without_doc_id_and_equal_ones(spark, monkeypatch):
+    monkeypatch.setattr(sm, "BUCKET_ROWS", 16)
+    rows = [(None, "a b c", "s0", 1, 2)] * 300 + [(None, f"x y z{i}", "s0", 1, 2) for i in range(100)] + [(7, "one two", "s1", 1, 2)] * 40 + [(i, "w " * (i % 9), "s2", 3, 4) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, share int, place int").repartition(3)
+    out = sm.mix(docs).collect()
+    assert len(out) == len(rows) and all(r.taken <= 3 * r.size for r in out)
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3
+    assert sorted(map(str, out)) == sorted(map(str, sm.mix(docs).collect()))
