@@ -1,6 +1,6 @@
 """A corpus pipeline over documents; each stage's result is written as Parquet and read again as the next one's documents.
 
-1. language_id: documents whose language can't be told (no text, no letter, or no likeness to any learned language) go.
+1. language_id: documents whose language can't be told (no text, no letter, or too little likeness to all learned languages) go.
 2. ngram_jaccard: of each group of near copies the document of the smallest doc_id stays; documents without words are no copies of each other.
 3. secret_scan: secrets in texts are replaced by a mark.
 4. source_mix: a document is repeated as often as the mix to target weights takes it, so what it doesn't take goes.
@@ -17,30 +17,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwell.llm import bpe, language_id, secrets_crf, shingle_join, source_mix
-from tagwell.llm.common import shared_dir, table
-
-LEAST_LIKENESS = 0.02
-
+from tagwell.llm.common import remove, shared_dir, table
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, prototypes = language_id.fit(language_id.labelled_part(docs))
-    judged = language_id.identify(docs, langs, prototypes)
-    return judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LEAST_LIKENESS)).select(docs.columns)
+    return language_id.with_known_language(docs, langs, prototypes)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, a digest of the whole row: only equal rows share one."""
-    return docs.withColumn("_key", F.xxhash64(*(docs[c] for c in docs.columns), *(docs[c].isNull() for c in docs.columns)))
+    """key, a digest of the whole row, which only equal rows share, and the row as a struct, so that no column's name matters."""
+    return docs.select(F.xxhash64(*(docs[c] for c in docs.columns), *(docs[c].isNull() for c in docs.columns)).alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    groups = shingle_join.join_documents(rows.select(F.col("_key").alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "of")
-    placed = rows.select("_key", "doc_id").distinct().join(groups, F.col("_key") == F.col("of"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_key", "n_shingles")).alias("one")
-    kept = placed.groupBy("component_id").agg(first).select(F.col("one._key").alias("of"), (F.col("one.unknown") & (F.col("one.n_shingles") == 0)).alias("apart"))
-    found = rows.join(kept, F.col("_key") == F.col("of"))
-    return found.where("NOT apart").dropDuplicates(["_key"]).select(docs.columns).unionByName(found.where("apart").select(docs.columns))
+    groups = shingle_join.join_documents(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).distinct().withColumnRenamed("doc_id", "of")
+    placed = rows.select("key", F.col("row.doc_id").alias("doc_id")).distinct().join(groups, F.col("key") == F.col("of"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "n_shingles")).alias("one")
+    kept = placed.groupBy("component_id").agg(first).select(F.col("one.key").alias("of"), (F.col("one.unknown") & (F.col("one.n_shingles") == 0)).alias("apart"))
+    found = rows.join(kept, F.col("key") == F.col("of"))
+    return found.where("NOT apart").dropDuplicates(["key"]).select("row.*").unionByName(found.where("apart").select("row.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +45,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    taken = source_mix.mix(rows.withColumn("doc_id", F.col("_key"))).where("taken > 0").groupBy(F.col("doc_id").alias("of")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    repeated = rows.dropDuplicates(["_key"]).join(taken, F.col("_key") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return repeated.select(docs.columns)
+    sizes = rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    taken = source_mix.mix(sizes).where("taken > 0").groupBy(F.col("doc_id").alias("of")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    repeated = rows.dropDuplicates(["key"]).join(taken, F.col("key") == F.col("of"))
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, base, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            remove(spark, before)
+        before = out
     return docs
