@@ -34,6 +34,16 @@ def ascii_search_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def search_column(text: Column) -> Column:
+    """The search text that is stored with a name: lower case, runs of punctuation and white space are one space, not trimmed. Compatibility forms have to be normalized before."""
+    return F.lower(F.regexp_replace(text, r"[\p{Punct}\s]+", " "))
+
+
+def packaging(quantity_: Column, unit: Column, package: Column) -> Column:
+    """Quantity with unit and package, as far as they are known."""
+    return F.concat_ws(" | ", F.when(quantity_.isNotNull(), F.concat_ws(" ", quantity_, unit)), F.when(package.isNotNull(), F.concat(F.lit("package "), package)))
+
+
 def _search(text: str) -> str:
     kept = []
     for c in unicodedata.normalize("NFKC", text).casefold():

@@ -12,15 +12,16 @@ ZONE = "Asia/Jerusalem"
 TRUE, FALSE = ("1", "true", "yes", "y", "כן"), ("0", "false", "no", "n", "לא")
 #: Formats of times without an offset, in the order they are tried.
 LOCAL_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-    "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "yyyyMMddHHmmss", "yyyyMMddHHmm", "yyyyMMdd",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm",
+    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "MM/dd/yyyy hh:mm:ss a", "yyyyMMddHHmmss", "yyyyMMddHHmm", "yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd",
 )
 
 
 def decimal_of(text: Column, scale: int = 4, least: str | None = "0", most: str | None = "9999999999.9999") -> Column:
-    """A decimal with a point or a comma before the fraction, within bounds."""
-    bare = F.trim(text)
-    plain = F.when(bare.rlike(r"^[+-]?[0-9]+,[0-9]{1,2}$"), F.regexp_replace(bare, ",", ".")).otherwise(F.regexp_replace(bare, ",", ""))
+    """A decimal within bounds. No-break spaces go; one comma without a point stands before the fraction, other commas group thousands."""
+    bare = F.regexp_replace(F.trim(text), "\u00a0", "")
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    plain = F.when((commas == 1) & ~bare.contains("."), F.replace(bare, F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
     value = plain.try_cast(f"decimal(38,{scale})")
     ok = plain.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$")
     if least is not None:
@@ -32,7 +33,7 @@ def decimal_of(text: Column, scale: int = 4, least: str | None = "0", most: str
 
 def int_of(text: Column) -> Column:
     bare = F.trim(text)
-    return F.when(bare.rlike(r"^[+-]?[0-9]+(\.0+)?$"), F.regexp_replace(bare, r"\..*$", "").try_cast("int"))
+    return F.when(bare.rlike(r"^[+-]?[0-9]+$"), bare.try_cast("int"))
 
 
 def flag_of(text: Column) -> Column:
@@ -58,6 +59,14 @@ def instant_of_parts(date: Column, time: Column, zone: str = ZONE) -> Column:
     return instant_of(both, zone)
 
 
+def listing_instant(text: Column) -> Column:
+    """The instant of a listing's time, which is written like 1/31/2024 4:05:06 PM."""
+    bare = F.trim(text)
+    parts = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}) ([0-9]{1,2}):([0-9]{2}):([0-9]{2}) ([AaPp][Mm])$"
+    padded = F.concat(*[x for k, sep in ((1, "/"), (2, "/"), (3, " "), (4, ":"), (5, ":"), (6, " "), (7, "")) for x in (F.lpad(F.regexp_extract(bare, parts, k), 2 if k != 3 else 4, "0"), F.lit(sep))])
+    return F.when(bare.rlike(parts), instant_of(F.upper(padded)))
+
+
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 

@@ -62,3 +62,14 @@ def bounded_children(df: DataFrame, key: list[str], order: list[Column], child:
     rows = ranked(df.withColumn("_child", child), key, order)
     kept = F.sort_array(F.collect_list(F.when(F.col("occurrence") <= most, F.struct("occurrence", "_child"))))
     return rows.where(F.col("occurrence") <= most + 1).groupBy(*key).agg(F.transform(kept, lambda x: x["_child"]).alias(name), (F.max("occurrence") > most).alias("truncated"))
+
+
+def at_most(df: DataFrame, most: int, what: str) -> None:
+    """Refuse more rows than `most`; no more than one above are counted."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: {what}")
+
+
+def child_budget(rows: Column, size: int, whole: int = 21, each: int = 7, kinds: int = 3) -> Column:
+    """How many children of each kind a row of a page may carry, so that all together stay within the response's budget."""
+    return F.least(F.lit(each), (F.lit(whole) / (F.greatest(F.least(rows, F.lit(size)), F.lit(1)) * kinds)).cast("int"))

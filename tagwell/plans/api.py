@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagwell.functions import text
-from tagwell.operators.relational import after, overlaps, page
+from tagwell.operators.relational import after, at_most, overlaps, page
 
 #: Least similarity of names in searches, and of store names.
 NAME_LIKENESS, STORE_LIKENESS = 0.3, 0.2
@@ -63,16 +63,40 @@ def stores(tables: dict, name: str | None = None, city: str | None = None, retai
     return page(behind(rows, cursor, ("id", True)), [F.col("id")], size)
 
 
-def search_products(tables: dict, name: str, cursor: list | None = None, size: int = 20) -> DataFrame:
-    """Products by rank: identifier 100, whole name 90, beginning 50, likeness 20 and its degree; equal ranks by id."""
+def search_products(tables: dict, name: str, cursor: list | None = None, size: int = 20, most: int = 10_000, quantity: tuple | None = None) -> DataFrame:
+    """Products by rank, from four streams of candidates: a barcode (100 validated, 90 otherwise), the whole name (50), its beginning (20 and the likeness), a like name, or the like name of a matched item (10 and that likeness).
+
+    Names count for active products only. An item of the sought (value, unit) adds 2. More than `most` candidates of one kind are refused.
+    """
     sought = text.ascii_search_text(F.lit(name))
-    known = tables["identifiers"].where(F.col("value") == name).select(F.col("product").alias("id"), F.lit(True).alias("by_identifier")).distinct()
-    similarity = text.trigram_similarity(F.col("search_name"), sought)
-    rank = F.when(F.col("by_identifier"), 100.0).when(F.col("search_name") == sought, 90.0).when(F.col("search_name").startswith(sought), 50.0).when(similarity >= NAME_LIKENESS, 20 + similarity)
-    rows = tables["products"].where("status = 'active'").join(known, "id", "left").withColumn("rank", F.round(rank, 6)).where("rank IS NOT NULL").drop("by_identifier")
+    similarity = lambda: text.trigram_similarity(F.col("search_name"), sought)
+    known = tables["identifiers"].where((F.col("kind") == "gtin") & (F.col("value") == name)).groupBy(F.col("product").alias("id")).agg(F.bool_or("validated").alias("validated"))
+    like = tables["items"].withColumn("alias", similarity()).where(F.col("alias") >= NAME_LIKENESS) if "search_name" in tables["items"].columns else None
+    if like is not None:
+        same = F.coalesce((F.col("quantity") == quantity[0]) & (F.col("unit") == quantity[1]), F.lit(False)) if quantity else F.lit(False)
+        like = like.join(tables["matches"], F.col("id") == F.col("item")).groupBy(F.col("product").alias("id")).agg(F.max("alias").alias("alias"), F.bool_or(same).alias("same_quantity"))
+    else:
+        like = known.select("id", F.lit(None).cast("double").alias("alias"), F.lit(False).alias("same_quantity")).where("false")
+    named = tables["products"].where("status = 'active'").where(F.col("search_name").startswith(sought) | (similarity() >= NAME_LIKENESS))
+    for kind, rows in (("named", named), ("known", known), ("like", like)):
+        at_most(rows, most, kind)
+    found = named.select("id").union(known.select("id")).union(like.select("id")).distinct()
+    rank = F.when(F.col("validated"), 100.0).when(F.col("validated").isNotNull(), 90.0).when(F.col("search_name") == sought, 50.0).when(F.col("search_name").startswith(sought), 20 + similarity())
+    rank = rank.otherwise(F.greatest(similarity(), 10 + F.coalesce("alias", F.lit(0.0)))) + F.when(F.col("same_quantity"), 2.0).otherwise(0.0)
+    rows = tables["products"].join(found, "id").join(known, "id", "left").join(like, "id", "left").withColumn("rank", F.round(rank, 6)).drop("validated", "alias", "same_quantity")
     return page(behind(rows, cursor, ("rank", False), ("id", True)), [F.col("rank").desc(), F.col("id")], size)
 
 
+def store_window(tables: dict, name: str, cursor: list | None = None, scanned: int = 10_000, size: int = 5) -> tuple[DataFrame, list | None]:
+    """Stores with a like name among the next `scanned` ones by id, and the cursor behind these: a window may hold none and still have a next one."""
+    window = page(behind(tables["stores"], cursor, ("id", True)), [F.col("id")], scanned)
+    ids = window.select("id").orderBy("id").collect()  # scanned and one more at most
+    inside = window.where(F.col("id") <= F.lit(ids[min(len(ids), scanned) - 1].id)) if ids else window
+    sought = text.ascii_search_text(F.lit(name))
+    rows = inside.where(F.col("search_name").contains(sought) | (text.trigram_similarity(F.col("search_name"), sought) >= STORE_LIKENESS))
+    return page(rows, [F.col("id")], size), [ids[scanned - 1].id] if len(ids) > scanned else None
+
+
 def by_barcode(tables: dict, gtin: str) -> DataFrame:
     """Products of a barcode, validated ones first; more than one without a validated one is for the caller to refuse."""
     hit = tables["identifiers"].where((F.col("kind") == "gtin") & (F.col("value") == gtin)).groupBy("product").agg(F.max("validated").alias("validated"))
@@ -81,7 +105,7 @@ def by_barcode(tables: dict, gtin: str) -> DataFrame:
 
 def by_item_code(tables: dict, retailer: str, code: str) -> DataFrame:
     items = tables["items"].where((F.col("retailer") == retailer) & (F.col("code") == text.normalized_identifier(F.lit(code)))).select(F.col("id").alias("item"))
-    return tables["products"].join(items.join(tables["matches"], "item").select(F.col("product").alias("id")).distinct(), "id", "left_semi").limit(2)
+    return tables["products"].join(items.join(tables["matches"], "item").select(F.col("product").alias("id")).distinct(), "id", "left_semi").orderBy("id").limit(2)
 
 
 def product(tables: dict, id_: str) -> DataFrame:
@@ -132,6 +156,20 @@ def source_status(tables: dict) -> DataFrame:
     return rows.select("id", "retailer", F.col("latest.id").alias("latest_file"), F.col("latest.status").alias("latest_status"), F.col("good.id").alias("good_file"), F.coalesce(F.col("latest.id") == F.col("good.id"), F.lit(False)).alias("healthy")).orderBy("id")
 
 
+def platform_status(tables: dict, maintenance: DataFrame) -> DataFrame:
+    """source_status with the state of maintenance, a table of one row or none, in every row."""
+    one = maintenance.limit(1).collect()
+    return source_status(tables).select("*", *[F.lit(one[0][c] if one else None).alias(f"maintenance_{c}") for c in maintenance.columns])
+
+
+def candidates_page(candidates: DataFrame, tables: dict, status: str = "pending", cursor: list | None = None, size: int = 50) -> DataFrame:
+    """Proposed matches (item, product, score, reason, status), the best first, with the names of both."""
+    rows = page(behind(candidates.where(F.col("status") == status), cursor, ("score", False), ("item", True), ("product", True)), [F.col("score").desc(), F.col("item"), F.col("product")], size)
+    items = tables["items"].select(F.col("id").alias("item"), F.col("retailer"), F.col("code"))
+    products = tables["products"].select(F.col("id").alias("product"), F.col("name").alias("product_name"))
+    return rows.join(items, "item").join(products, "product").orderBy(F.col("score").desc(), "item", "product")
+
+
 def failures(tables: dict, statuses: tuple[str, ...] = ("failed_retryable", "failed_permanent"), cursor: list | None = None, size: int = 200) -> DataFrame:
     return page(behind(tables["files"].where(F.col("status").isin(*statuses)), cursor, ("id", True)), [F.col("id")], size)
 

@@ -72,12 +72,21 @@ def token_jaccard_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH pairs AS (SELECT a.p_partkey AS item, b.p_partkey AS candidate, min(CASE WHEN a.p_name = b.p_name THEN 0 ELSE 1 END) AS priority FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY priority, candidate) AS place FROM pairs) SELECT item, candidate, priority, place FROM ranked WHERE place <= {NEAREST}""")
 def blocked_topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each product the first candidates of its block (brand and size), equal names before others."""
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name")
-    a, b = part.alias("a"), part.alias("b")
-    pairs = a.join(b, F.expr("a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey"))
-    rows = pairs.select(F.col("a.p_partkey").alias("item"), F.col("b.p_partkey").alias("candidate"), F.when(F.col("a.p_name") == F.col("b.p_name"), 0).otherwise(1).alias("priority"))
-    return relational.ranked(rows, ["item"], [F.col("priority"), F.col("candidate")], "place").where(F.col("place") <= NEAREST)
+    """For each product the first candidates of its block (brand and size), equal names before others.
+
+    No two rows of a block meet: a block's first ids of each name, and the first of these, hold all candidates of all its products.
+    """
+    block, name = ["p_brand", "p_size"], ["p_brand", "p_size", "p_name"]
+    part = read(spark, sf_dir, "part").select("p_partkey", *name)
+    first = relational.ranked(part, name, [F.col("p_partkey")], "place").where(F.col("place") <= NEAREST + 1)
+    same = first.groupBy(*name).agg(F.sort_array(F.collect_list("p_partkey")).alias("same"))
+    listed = relational.ranked(first.where(F.col("place") <= NEAREST).drop("place"), block, [F.col("p_partkey")], "place").where(F.col("place") <= 2 * NEAREST)
+    others = listed.groupBy(*block).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("others"))
+    rows = part.join(same, name).join(others, block)
+    equal = F.transform(F.filter("same", lambda x: x != F.col("p_partkey")), lambda x: F.struct(x.alias("candidate"), F.lit(0).alias("priority")))
+    other = F.transform(F.filter("others", lambda x: x["p_name"] != F.col("p_name")), lambda x: F.struct(x["p_partkey"].alias("candidate"), F.lit(1).alias("priority")))
+    found = F.posexplode(F.slice(F.concat(equal, other), 1, NEAREST))
+    return rows.select(F.col("p_partkey").alias("item"), found.alias("at", "one")).select("item", "one.candidate", "one.priority", (F.col("at") + 1).alias("place"))
 
 
 @query("SELECT event_id, 'duplicate_logical_record' AS code FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn > 1")

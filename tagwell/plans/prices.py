@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagwell.operators import history, relational
 from tagwell.plans.tables import LATEST, OBSERVATIONS, SPANS, day, observations, read, stores
 
-PAGE, INSTANT, SINCE, UNTIL = 28, "1997-06-01", "1996-01-01", "1998-01-01"
+PAGE, INSTANT, NEXT, SINCE, UNTIL = 28, "1997-06-01", "1997-06-02", "1996-01-01", "1998-01-01"
 LAST = ["observed_on", "order_no", "line_no", "price", "on_sale", "available"]
 QUERIES, ORACLES = {}, {}
 
@@ -81,12 +81,13 @@ def price_history_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SPANS} SELECT product, store, valid_from, price FROM spans WHERE valid_from <= '{INSTANT}' AND (valid_to IS NULL OR '{INSTANT}' < valid_to)")
 def price_as_of_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The price that held at an instant."""
-    return spans(spark, sf_dir).where(relational.contains(F.col("valid_from"), F.col("valid_to"), F.lit(INSTANT))).select("product", "store", "valid_from", "price")
+    until = history.intervals(observations(spark, sf_dir, before=NEXT), ["product", "store"], "observed_on", ["price"])  # what comes later ends intervals only
+    return until.where("valid_to IS NULL").select("product", "store", "valid_from", "price")
 
 
 def snapshot(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
-    """The last price of each key among the observations that the condition picks."""
-    rows = observations(spark, sf_dir).where(condition)
+    """The last price of each key among the observations of one half: OLD or NEW."""
+    rows = observations(spark, sf_dir, before=INSTANT) if condition == OLD else observations(spark, sf_dir, since=INSTANT)
     return relational.latest_of(rows, ["product", "store"], LAST).select("product", "store", "price", "on_sale", "available")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwell.plans import catalog, ingest, prices  # noqa: F401  they register their queries
+from tagwell.plans import applying, catalog, ingest, prices, reads  # noqa: F401  they register their queries
 from tagwell.plans.prices import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -18,9 +18,13 @@ def day(c) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """product, store, observed_on (text, which orders like the date), price, on_sale, available and the line's number."""
+def observations(spark: SparkSession, sf_dir: str, since: str | None = None, before: str | None = None) -> DataFrame:
+    """product, store, observed_on (text, which orders like the date), price, on_sale, available and the line's number; of [since, before), where the scan of orders skips what lies outside."""
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    if since:
+        orders = orders.where(F.col("o_orderdate") >= F.lit(since).cast(dict(orders.dtypes)["o_orderdate"]))
+    if before:
+        orders = orders.where(F.col("o_orderdate") < F.lit(before).cast(dict(orders.dtypes)["o_orderdate"]))
     return lines.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_partkey").alias("product"), F.col("l_suppkey").alias("store"), day("o_orderdate").alias("observed_on"), F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no"),
         F.col("l_extendedprice").cast("decimal(14,4)").alias("price"), (F.col("l_discount") > 0).alias("on_sale"), (F.col("l_linestatus") == "O").alias("available"),

@@ -21,8 +21,8 @@ def tables(spark):
         "retailers": make([("r1", "Shop"), ("r2", "Mart")], "id string, name string"), "portals": make([("p1", "r1"), ("p2", "r2")], "id string, retailer string"),
         "stores": make([("s1", "r1", "p1", "Main Street", "Haifa", "main street"), ("s2", "r2", "p2", "Harbour", "Tel-Aviv", "harbour"), ("s3", "r1", "p1", "Main Square", "Haifa", "main square")], "id string, retailer string, portal string, name string, city string, search_name string"),
         "products": make([("a", "Dark chocolate", "B", "dark chocolate", "active"), ("b", "Dark chocolate bar", "B", "dark chocolate bar", "active"), ("c", "Milk", None, "milk", "active"), ("d", "Dark chocolate", None, "dark chocolate", "retired")], "id string, name string, brand string, search_name string, status string"),
-        "identifiers": make([("a", "gtin", "1", True), ("b", "gtin", "1", False), ("c", "code", "milk", False)], "product string, kind string, value string, validated boolean"),
-        "matches": make([("i1", "c")], "item string, product string"), "items": make([("i1", "r1", "77", None)], "id string, retailer string, code string, gtin string"),
+        "identifiers": make([("a", "gtin", "1", True), ("b", "gtin", "1", False), ("c", "gtin", "77", False)], "product string, kind string, value string, validated boolean"),
+        "matches": make([("i1", "c")], "item string, product string"), "items": make([("i1", "r1", "77", None, "fresh milk")], "id string, retailer string, code string, gtin string, search_name string"),
         "prices": make([(f"q{i}", "a", f"s{i % 3 + 1}", Decimal(9 - i % 3), day(1)) for i in range(6)], "id string, product string, store string, price decimal(14,4), observed_at timestamp"),
         "history": make([("h1", "a", "s1", Decimal(1), day(1), day(5)), ("h2", "a", "s1", Decimal(2), day(5), None), ("h3", "a", "s2", Decimal(3), day(2), None)], "id string, product string, store string, price decimal(14,4), valid_from timestamp, valid_to timestamp"),
         "availability": make([("v1", "a", "s1", True, day(3)), ("v2", "b", "s1", True, day(4)), ("v3", "a", "s2", False, day(1))], "id string, product string, store string, is_available boolean, observed_at timestamp"),
@@ -39,6 +39,12 @@ def test_pages_and_searches(tables):
     assert ids(api.retailers(tables)) == ["r1", "r2"] and ids(api.retailers(tables, ["r1"])) == ["r2"]
     assert ids(api.stores(tables, name="main")) == ["s1", "s3"] and ids(api.stores(tables, city="tel aviv")) == ["s2"] and ids(api.stores(tables, retailer="r1", cursor=["s1"])) == ["s3"]
     assert ids(api.search_products(tables, "Dark Chocolate")) == ["a", "b"] and ids(api.search_products(tables, "milk")) == ["c"]
+    assert [(r.id, r["rank"]) for r in api.search_products(tables, "1").collect()] == [("a", 100.0), ("b", 90.0)] and [(r.id, r["rank"]) for r in api.search_products(tables, "77").collect()] == [("c", 90.0)]
+    assert [(r.id, r["rank"]) for r in api.search_products(tables, "fresh milk").collect()] == [("c", 11.0)]
+    with pytest.raises(ValueError):
+        api.search_products(tables, "dark", most=1)
+    near, after = api.store_window(tables, "main", scanned=2)
+    assert ids(near) == ["s1"] and after == ["s2"] and api.store_window(tables, "main", after, scanned=2)[1] is None
     first = api.search_products(tables, "dark chocolate", size=1).collect()
     assert len(first) == 2 and ids(api.search_products(tables, "dark chocolate", [first[0]["rank"], first[0].id])) == ["b"]
     assert [(r.id, r.validated) for r in api.by_barcode(tables, "1").collect()] == [("a", True), ("b", False)]
