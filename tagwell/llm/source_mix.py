@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
 def nearest_sum(weights: np.ndarray, counts: np.ndarray, target: int, most: int) -> np.ndarray:
     """How many of each weight to take for the sum nearest to target (the lower of two) and at most `most`, by dynamic programming over sums."""
     taken = np.zeros(len(weights), np.int64)
-    usable = [i for i in range(len(weights)) if 0 < weights[i] <= most and counts[i]]
+    usable = [i for i in np.argsort(-weights, kind="stable") if 0 < weights[i] <= most and counts[i]]  # the longest first, so that short ones are left for what remains
     reach = np.zeros(most + 1, bool)
     reach[0] = True
     by = np.full(most + 1, -1, np.int32)

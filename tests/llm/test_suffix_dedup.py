@@ -37,9 +37,9 @@ def corpus(seed, length):
     return texts
 
 
-def runs_of(spark, strings, length):
+def runs_of(spark, strings, window, owners=None):
     sd.register(spark)
-    data = spark.createDataFrame([(bytearray(sd.pack(strings, length)),)], "blob binary").selectExpr(f"{sd.FUNCTION}(blob) AS runs").first().runs
+    data = spark.createDataFrame([(bytearray(sd.pack(strings, window, owners)),)], "blob binary").selectExpr(f"{sd.FUNCTION}(blob) AS runs").first().runs
     return [struct.unpack_from(">3i", data, 12 * k) for k in range(len(data) // 12)]
 
 
@@ -49,8 +49,23 @@ def test_repeated_windows_by_suffix_order(spark, seed):
     strings = [bytes(rng.choice(b"ab" if seed % 2 else b"abc\xff\x00") for _ in range(rng.randrange(0, 60))) for _ in range(12)] + [b"a" * 30, b"ab" * 15, b""]
     length = rng.randrange(1, 9)
     windows = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
-    want = {(k, i) for k, s in enumerate(strings) for i in range(len(s) - length + 1) if windows[s[i : i + length]] > 1}
-    assert {(k, i) for k, a, b in runs_of(spark, strings, length) for i in range(a, b + 1)} == want
+    want = {(k, i + j) for k, s in enumerate(strings) for i in range(len(s) - length + 1) if windows[s[i : i + length]] > 1 for j in range(length)}
+    assert {(k, i) for k, a, b in runs_of(spark, strings, length) for i in range(a, b)} == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_repeated_words_of_other_owners_by_suffix_order(spark, seed):
+    rng = random.Random(seed)
+    words = ["a", "ab", "b", "ba", "abb"]
+    strings = [b" " + " ".join(rng.choice(words) for _ in range(rng.randrange(1, 25))).encode() + b" " for _ in range(14)]
+    owners, n = [rng.randrange(4) for _ in strings], rng.randrange(2, 5)
+    places = [list(sd.windows_of(s, -n)) for s in strings]
+    held = {}
+    for s, owner, own in zip(strings, owners, places):
+        for a, b in own:
+            held.setdefault(s[a:b], set()).add(owner)
+    want = {(k, i) for k, (s, own) in enumerate(zip(strings, places)) for a, b in own if len(held[s[a:b]]) > 1 for i in range(a, b)}
+    assert {(k, i) for k, a, b in runs_of(spark, strings, -n, owners) for i in range(a, b)} == want and want
 
 
 def test_contexts_cover_each_window_once_and_agree_on_equal_windows(monkeypatch):
@@ -62,13 +77,63 @@ def test_contexts_cover_each_window_once_and_agree_on_equal_windows(monkeypatch)
     of = {}
     for t in (a, b):
         runs = list(sd.contexts(t))
-        assert [x for _, p, q in runs for x in range(p, q + 1)] == list(range(len(t) - sd.LENGTH + 1))
+        assert [x for _, p, q in runs for x in range(p, q - sd.LENGTH + 1)] == list(range(len(t) - sd.LENGTH + 1))
         for h, p, q in runs:
-            for x in range(p, q + 1):
+            for x in range(p, q - sd.LENGTH + 1):
                 assert of.setdefault(t[x : x + sd.LENGTH], h) == h
     sd.powers.cache_clear()
 
 
+def test_word_contexts_cover_each_window_once_and_agree_on_equal_windows(monkeypatch):
+    monkeypatch.setattr(sd, "CHUNK", 60)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7)))
+    shared = [word() for _ in range(70)]
+    of = {}
+    for n in (30, 211):
+        t = (" " + " ".join([word() for _ in range(n)] + shared + [word() for _ in range(150)]) + " ").encode()
+        runs, want = list(sd.word_contexts(t)), list(sd.windows_of(t, -sd.WORDS))
+        found = [(h, w) for h, p, q in runs for w in want if p <= w[0] and w[1] <= q]
+        assert sorted(w for _, w in found) == want
+        for h, (x, y) in found:
+            assert of.setdefault(t[x:y], h) == h
+    assert list(sd.word_contexts(b" few words ")) == [] and list(sd.word_contexts(b"  ")) == []
+
+
+def passages(texts, n=50):
+    """Of each text how many runs of n words or more another one holds."""
+    words = [(t or "").replace("\t", " ").replace("\n", " ").split(" ") for t in texts]
+    words = [[w for w in x if w] for x in words]
+    held = {}
+    for k, x in enumerate(words):
+        for i in range(len(x) - n + 1):
+            held.setdefault(tuple(x[i : i + n]), set()).add(k)
+    out = []
+    for x in words:
+        hit = np.zeros(len(x) + 1, bool)
+        for i in range(len(x) - n + 1):
+            if len(held[tuple(x[i : i + n])]) > 1:
+                hit[i : i + n] = True
+        out.append(int((np.diff(np.concatenate([[0], hit.astype(int)])) == 1).sum()))
+    return out
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_passages_of_words_that_other_documents_hold(spark, most, monkeypatch):
+    monkeypatch.setattr(sd, "BLOCK_CONTEXTS", most)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randrange(1, 6)))
+    text = lambda n: [word() for _ in range(n)]
+    base, other = text(90), text(51)
+    texts = [" ".join(text(n)) for n in (0, 3, 49, 50, 200)] + [None, " \n "]
+    texts += [" ".join(text(20) + base[:n] + text(30)) for n in (48, 49, 50, 51, 90)] + ["\n".join(base[5:70]) + "\t  " + " ".join(text(9) + base[30:85])]
+    texts += [" ".join(text(4) + other + text(3) + other)] + [" ".join(text(70))] * 2 + [" ".join(other[:30])] * 2 + [" ".join(w.upper() for w in base)] + [" ".join(text(60) * 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_passages for r in sd.deduplicate(docs, words=50).select("doc_id", "n_passages").collect()}
+    want = passages(texts)
+    assert got == dict(enumerate(want)) and sum(want) >= 7
+
+
 @pytest.mark.parametrize(("seed", "most"), [(1, 4096), (2, 3)])
 def test_against_all_windows(spark, seed, most, monkeypatch):
     monkeypatch.setattr(sd, "BLOCK_BYTES", 5000)
