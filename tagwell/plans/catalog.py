@@ -168,13 +168,16 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(at(50), at(95), at(99))
 
 
+ANCHOR = "'<a href=\"([^\"]*)\"[^>]*>([^<]*)</a>'"
+
+
+@query(f"""WITH l AS (SELECT page_id, regexp_extract_all(html, {ANCHOR}, 1) AS h, regexp_extract_all(html, {ANCHOR}, 2) AS t FROM pages), u AS (SELECT page_id, unnest(range(length(h))) AS position, h, t FROM l)
+SELECT page_id, position, replace(h[position + 1], '&amp;', '&') AS href, trim(regexp_replace(replace(t[position + 1], '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM u""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all pages."""
     return links.extract(read(spark, sf_dir, "pages"))
 
 
-query()(html_links)
-
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(s, '^prices?full') THEN 'price_full' WHEN regexp_matches(s, '^stores?') THEN 'stores' WHEN regexp_matches(s, '^prices?') THEN 'price_delta' END AS document_type,
 CASE WHEN page_id % 4 = 0 THEN 'gzip' WHEN page_id % 4 = 1 THEN 'zip' ELSE 'none' END AS compression, '2024010' || (page_id % 9 + 1) || '0930' AS stamp

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tagwell.operators import history
 
@@ -27,10 +26,10 @@ class PriceState:
         self.spark, self.path = spark, path.rstrip("/")
 
     def version(self) -> int:
-        try:
-            return self.spark.read.parquet(f"{self.path}/pointers").agg(F.max("version")).first()[0] or 0
-        except AnalysisException:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointers")
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):  # any other failure to read is one
             return 0
+        return self.spark.read.schema("version long").parquet(f"{self.path}/pointers").agg(F.max("version")).first()[0] or 0
 
     def read(self, name: str) -> DataFrame:
         version = self.version()
