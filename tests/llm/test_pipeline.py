@@ -7,6 +7,8 @@ from tagwell.llm import secrets_crf
 
 ENGLISH = "the cat and the dog went with this that they will have from there their what about would which could"
 
+CLASHING = "_text string, of int, times int, copy int, lang_pred string, key long, row string, size int"
+
 
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
@@ -16,7 +18,8 @@ def sf_dir(spark, tmp_path_factory):
     rows += [(100 + i, rows[i][1], "en", "s0", 1) for i in range(10)]  # copies
     rows += [(200, rows[20][1] + " more", "en", "s0", 1), (300, None, None, None, None), (301, "", None, "s1", 0), (302, "123 456", None, "s1", 7), (303, rows[21][1] + " password=hunter2hunter2 " + text(30), "en", "s1", 1), (None, text(30), "en", None, 1)]
     out = str(tmp_path_factory.mktemp("sf"))
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{out}/documents.parquet")
+    rows = [(*r, "other text", 1, 2, 3, "xx", 4, "row", 5) for r in rows]  # names that stages use inside
+    spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}").write.parquet(f"{out}/documents.parquet")
     return out
 
 
@@ -25,7 +28,8 @@ def test_stages_take_effect(spark, sf_dir):
     at = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *(c.split()[0] for c in CLASHING.split(", "))]
+        assert all(tuple(r)[5:] == ("other text", 1, 2, 3, "xx", 4, "row", 5) for r in docs.collect())
         at[name] = docs.collect()
     ids = lambda name: {r.doc_id for r in at[name]}
     assert ids("language_id") == {*range(60), *range(100, 110), 200, 303, None}
@@ -51,7 +55,17 @@ def test_rows_without_doc_id_and_ids_with_several_texts(spark, tmp_path):
     kept = corpus_pipeline.without_near_copies(spark, docs, "").collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == sorted([(1, b), (2, c)])
     assert sum(r.doc_id is None and r.text.startswith(a) for r in kept) == 1 and sum(r.text == "" for r in kept) == 2 and len(kept) == 5
-    many = spark.createDataFrame([(None if i % 2 else i, text(rng.randint(5, 60)), f"s{i % 3}") for i in range(90)] + rows[:1] * 2, "doc_id long, text string, source string").localCheckpoint()
+    many = spark.createDataFrame([(None if i % 2 else i, text(rng.randint(5, 60)), f"s{i % 3}") for i in range(90)] + rows[:1] * 2, "doc_id long, text string, source string")
     out = corpus_pipeline.mixed(spark, many, "").collect()
     want = corpus_pipeline.source_mix.mix(corpus_pipeline.keyed(many).withColumn("doc_id", corpus_pipeline.F.col("_key"))).collect()
     assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in want)
+
+
+def test_text_without_a_known_language_goes_and_short_clean_text_stays(spark, sf_dir):
+    rng = random.Random(3)
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    learned = [(i, " ".join(rng.choice(ENGLISH.split()) for _ in range(40)), "en") for i in range(80)]
+    judged = [(1001, "the cat", None), (1002, "this dog would.", None), (1003, letters(120), None), (1004, "съешь же ещё этих мягких французских булок, да выпей чаю " * 3, None), (1005, "with them " * 2000, None)]
+    docs = spark.createDataFrame(learned + judged, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    assert kept == {*range(80), 1001, 1002, 1005}
