@@ -36,7 +36,7 @@ from tagwell.llm.common import release, table
 
 CHUNK, OVERLAP = 8192, 64
 PART, PART_OVERLAP = 65_536, 256
-KEPT, KEPT_LENGTH = 250_000, 48
+KEPT, KEPT_LENGTH = 120_000, 48
 SEEN_AHEAD = 3  # characters that a pre-token of the pattern's first alternatives needs
 RANKS = "byte_bpe_multi_50k.tiktoken"
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwell.llm.common import sized_partitions, table
+from tagwell.llm.common import release, sized_partitions, slices, table
 
 PART_BYTES = 1 << 26
 SKETCH, BASE_LEVEL, ENOUGH, ROUNDS = 64, 3, 12, 3
@@ -173,7 +173,7 @@ def fingerprint_documents(docs: DataFrame, batch_chars: int = 1 << 20) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 held.append(row)
                 size += len(row[1])
@@ -182,6 +182,8 @@ def fingerprint_documents(docs: DataFrame, batch_chars: int = 1 << 20) -> DataFr
                     held, size = held[-1:], len(row[1])
         if len(held) > 1:
             yield out(held)
+        held.clear()
+        release()
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         """Of all but the last row, and not of tails."""

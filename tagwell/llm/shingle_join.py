@@ -35,14 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagwell.llm.common import cut, release, table, tidy
+from tagwell.llm.common import cut, release, slices, table, tidy
 from tagwell.llm.graph import components
 
 WORDS, PERCENT = 5, 75
 KEYS, LONGER = 4, 5
 FREQUENT, LEAST_FREQUENT, MOST_FREQUENT = 1 / 2000, 24, 1 << 17
 COUNT_SHINGLES = 1_000_000
-TILE_POSTINGS, TILE_CLASSES, PAIRS_AT_ONCE = 1_500_000, 200_000, 1_000_000
+TILE_POSTINGS, TILE_CLASSES, PAIRS_AT_ONCE = 750_000, 100_000, 500_000
 BLOCK_CLASSES, BLOCK_SHINGLES, SLICE_BITS = 1024, 500_000, 1 << 16
 PIVOT_CLASSES = 256
 MOST_BITS = 1 << 14
@@ -344,7 +344,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for b, block, part, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(data, np.uint64)
@@ -574,7 +574,7 @@ def met(rows: DataFrame, key: list[str], columns: list[str], kernel: Callable, s
             found = kernel(at, first, last) if first and (last or at[-1] == at[-2]) else ([],) * len(names)
             return pa.RecordBatch.from_arrays([pa.array(f, kind) for f, kind in zip(found, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:k] != at and at is not None:
                     yield give()

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagwell.llm import files
-from tagwell.llm.common import cut, release, shared_dir, sized_partitions, table, tidy
+from tagwell.llm.common import cut, release, shared_dir, sized_partitions, slices, table, tidy
 from tagwell.llm.shingle_join import ODD, word_hashes
 
 LENGTH, ANCHOR = 400, 48
@@ -188,7 +188,7 @@ def sorted_blocks(strings: DataFrame, blocks: int, window: int) -> DataFrame:
             keys = [x for k in held for x in k]
             return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(pa.int64())), pa.array([pack([v[1] for v in held.values()], window, [v[0] for v in held.values()])], pa.binary())], names=["keys", "blob"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for b, h, ctx, owner, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != block and held:
                     yield give()
@@ -281,7 +281,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, words: int | None = None)
     arrow = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             runs, kept, passages = [], [], []
             for data, found, others, copies in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 own = joined([(x["first"], x["end"]) for x in found or ()])
