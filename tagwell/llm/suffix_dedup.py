@@ -95,40 +95,52 @@ def anchor_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchored(h: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of n windows, the i-th with the strings i to i + width - 1 of these hashes: the anchor's hash, the first and the last window of each run of one anchor."""
+def anchored(h: np.ndarray, n: int, width: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n windows, the i-th with the strings i to i + width - 1 of these hashes: the anchor's hash, the first and the last window of each run of one anchor and, if given, one owner."""
     keyed = (h & ~PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
     keyed = np.concatenate([keyed, np.full(-len(keyed) % width, ~np.uint64(0))]).reshape(-1, width)
     ahead, behind = np.minimum.accumulate(keyed, 1).ravel(), np.minimum.accumulate(keyed[:, ::-1], 1)[:, ::-1].ravel()
     at = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & PLACE_BITS).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+    fresh = at[1:] != at[:-1] if owner is None else (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+    first = np.concatenate([[0], np.flatnonzero(fresh) + 1])
     return h[at[first]].view(np.int64), first, np.append(first[1:], n) - 1
 
 
-def contexts(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, int, int]]:
-    """(anchor's hash, first byte, end) of the windows that share an anchor, in runs that cover all windows."""
+def contexts(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors' hashes, first bytes and ends of the windows that share an anchor, in runs that cover all windows."""
     for base in range(0, len(data) - length + 1, CHUNK):
         part = np.frombuffer(data, np.uint8, min(CHUNK + length - 1, len(data) - base), base)
         h, first, last = anchored(anchor_hashes(part, anchor), len(part) - length + 1, length - anchor + 1)
-        yield from zip(h.tolist(), (first + base).tolist(), (last + base + length).tolist(), strict=True)
+        yield h, first + base, last + base + length
 
 
-def word_contexts(data: bytes, words: int = WORDS, anchor: int = ANCHOR_WORDS) -> Iterator[tuple[int, int, int]]:
-    """The same for windows of words, from bytes with one space before and behind each word."""
+def word_contexts(texts: list[bytes], words: int = WORDS, anchor: int = ANCHOR_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for windows of words, of many texts at once, each with one space before and behind each word; before these, which text it is."""
+    data = b"".join(texts)
     space = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-    n = len(space) - words
-    if n <= 0:
-        return
+    starts = np.cumsum([0, *map(len, texts)])
+    before = np.searchsorted(space, starts)  # spaces of the texts before each
+    width = words - anchor + 1
     w = word_hashes(data)
+    if len(w) < words:
+        return
     h = w[: len(w) - anchor + 1] * ODD[0]
     for k in range(1, anchor):
         h = (h ^ (h >> np.uint64(31))) * ODD[k % len(ODD)] + w[k : len(w) - anchor + 1 + k]
     h = (h ^ (h >> np.uint64(29))) * ODD[1]
     h ^= h >> np.uint64(32)
-    width = words - anchor + 1
-    for base in range(0, n, CHUNK):
-        own, first, last = anchored(h[base : base + CHUNK + width - 1], min(CHUNK, n - base), width)
-        yield from zip(own.tolist(), space[first + base].tolist(), (space[last + base + words] + 1).tolist(), strict=True)
+    counts = np.diff(before) - 1  # words of each text
+    owner = np.repeat(np.arange(len(texts)), counts)
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(w))  # words of its text from here on
+    for base in range(0, len(w) - words + 1, CHUNK):
+        n = min(CHUNK, len(w) - words + 1 - base)
+        own, first, last = anchored(h[base : base + n + width - 1], n, width, owner[base : base + n])
+        first, last = first + base, last + base
+        last = np.minimum(last, first + left[first] - words)  # windows don't reach into the next text
+        ok = last >= first
+        own, first, last = own[ok], first[ok], last[ok]
+        of = owner[first]
+        yield of, own, space[first + of] - starts[of], space[last + of + words] + 1 - starts[of]  # each text has a space more than words
 
 
 def windows_of(data: bytes, window: int) -> Iterator[tuple[int, int]]:
@@ -146,16 +158,24 @@ OCCURRENCE = "h long, ctx long, k1 long, k2 long, start int, size int"
 def occurrences(texts: DataFrame, window: int) -> DataFrame:
     """Each context of each text: anchor h, digest ctx, the text's key, first byte and number of bytes."""
 
+    def found(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        if window > 0:
+            for k, data in enumerate(texts):
+                for h, first, end in contexts(data, window):
+                    yield np.full(len(h), k), h, first, end
+        else:
+            yield from word_contexts(texts, -window)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                columns: list[list] = [[], [], [], [], [], []]
-                for k1, k2, data in zip(*(c.to_pylist() for c in batch.slice(low, 256).columns), strict=True):
-                    for h, first, end in contexts(data, window) if window > 0 else word_contexts(data, -window):
-                        for column, value in zip(columns, (h, xxhash.xxh3_64_intdigest(data[first:end]) - (1 << 63), k1, k2, first, end - first), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "ctx", "k1", "k2", "start", "size"])
+        for batch in slices(batches, 256):
+            keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
+            texts = batch.column(2).to_pylist()
+            parts = list(found(texts)) or [(np.empty(0, np.int64),) * 4]
+            of, h, first, end = (np.concatenate(c) for c in zip(*parts, strict=True))
+            digest = xxhash.xxh3_64_intdigest
+            ctx = np.fromiter((digest(texts[k][a:b]) for k, a, b in zip(of.tolist(), first.tolist(), end.tolist(), strict=True)), np.uint64, len(of)) ^ np.uint64(1 << 63)
+            columns = (h, ctx.view(np.int64), keys[0][of], keys[1][of], first.astype(np.int32), (end - first).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "ctx", "k1", "k2", "start", "size"])
         release()
 
     return texts.mapInArrow(run, OCCURRENCE)
@@ -230,7 +250,7 @@ def counted_windows(strings: DataFrame, window: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     """k1, k2 and spans (first byte, end) that repeated windows cover, for texts (k1, k2, data) that have any. A window above 0 is a number of bytes and repeats anywhere else; below 0 it is a number of words, which another text has to hold."""
     register(texts.sparkSession)
-    found = occurrences(texts, window)
+    found = occurrences(texts, window) if window > 0 else cut(occurrences(texts, window))  # of words there are few
     several_texts = F.min(F.struct("k1", "k2")) != F.max(F.struct("k1", "k2"))
     different = found.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("one"), several_texts.alias("shared"))
     if window > 0:

@@ -76,7 +76,7 @@ def test_contexts_cover_each_window_once_and_agree_on_equal_windows(monkeypatch)
     a, b = (bytes(rng.randrange(256) for _ in range(n)) + shared + bytes(rng.randrange(256) for _ in range(900)) for n in (333, 1201))
     of = {}
     for t in (a, b):
-        runs = list(sd.contexts(t))
+        runs = [x for part in sd.contexts(t) for x in zip(*(c.tolist() for c in part))]
         assert [x for _, p, q in runs for x in range(p, q - sd.LENGTH + 1)] == list(range(len(t) - sd.LENGTH + 1))
         for h, p, q in runs:
             for x in range(p, q - sd.LENGTH + 1):
@@ -89,15 +89,17 @@ def test_word_contexts_cover_each_window_once_and_agree_on_equal_windows(monkeyp
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7)))
     shared = [word() for _ in range(70)]
+    texts = [(" " + " ".join([word() for _ in range(n)] + shared + [word() for _ in range(150)]) + " ").encode() for n in (30, 211)]
+    texts = [b" few words ", texts[0], b" x ", texts[1], (" " + " ".join(shared[:50]) + " ").encode()]
+    runs = [x for part in sd.word_contexts(texts) for x in zip(*(c.tolist() for c in part))]
     of = {}
-    for n in (30, 211):
-        t = (" " + " ".join([word() for _ in range(n)] + shared + [word() for _ in range(150)]) + " ").encode()
-        runs, want = list(sd.word_contexts(t)), list(sd.windows_of(t, -sd.WORDS))
-        found = [(h, w) for h, p, q in runs for w in want if p <= w[0] and w[1] <= q]
+    for k, t in enumerate(texts):
+        want = list(sd.windows_of(t, -sd.WORDS))
+        found = [(h, w) for i, h, p, q in runs if i == k for w in want if p <= w[0] and w[1] <= q]
         assert sorted(w for _, w in found) == want
         for h, (x, y) in found:
             assert of.setdefault(t[x:y], h) == h
-    assert list(sd.word_contexts(b" few words ")) == [] and list(sd.word_contexts(b"  ")) == []
+    assert list(sd.word_contexts([b" few words ", b" x "])) == []
 
 
 def passages(texts, n=50):
