@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tagwell.operators import history, identity
+from tagwell.operators import apply, history, identity
 from tagwell.sources import export, html_links, publisher_files as pf
 from tagwell.streaming import ingest
 
@@ -68,26 +68,49 @@ def at(day):
     return datetime(2026, 1, day)
 
 
-def staged(spark, file, day, rows, scope="s"):
-    return spark.createDataFrame([(file, scope, at(day), *r) for r in rows], ingest.INCOMING)
+def staged(spark, file, day, rows, scope="s", full=False, rejected=0):
+    return spark.createDataFrame([(file, scope, at(day), full, rejected, store, item, price, price, sale, status) for store, item, price, sale, status in rows], ingest.INCOMING)
 
 
-def test_stream_keeps_history_quarantines_late_files_and_is_idempotent(spark, tmp_path):
+def test_stream_keeps_history_quarantines_bad_files_and_is_idempotent(spark, tmp_path):
     one, two = Decimal("1.0000"), Decimal("2.0000")
-    files = [("a", 1, [("1", "x", one, False), ("1", "y", one, False)]), ("b", 3, [("1", "x", two, False), ("1", "y", one, False)]), ("late", 2, [("1", "x", Decimal("9.0000"), False)]), ("d", 4, [("1", "x", two, None), ("2", "x", one, False)])]
-    for name, day, rows in files:
-        staged(spark, name, day, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        state = ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "checkpoint"))
-    got = sorted(map(tuple, state.read("history").select("store", "item", "valid_from", "valid_to", "price", "on_sale").collect()), key=str)
-    assert got == sorted([("1", "x", at(1), at(3), one, False), ("1", "x", at(3), at(4), two, False), ("1", "x", at(4), None, two, None), ("1", "y", at(1), None, one, False), ("2", "x", at(4), None, one, False)], key=str)
-    assert [(r.file, r.verdict) for r in state.read("quarantine").collect()] == [("late", "source_timestamp_regression")]
-    version = state.version()
-    state.apply(staged(spark, "z", 9, [("9", "z", one, True)]), 0)
-    assert state.version() == version
-    accepted = [staged(spark, n, d, r) for n, d, r in files if n != "late"]
-    batch = accepted[0].unionByName(accepted[1]).unionByName(accepted[2])
-    whole = history.intervals(batch, ingest.KEY, "source_time", ingest.CHANGE)
-    assert history.same_rows(whole.select("store", "item", "valid_from", "valid_to", "price", "on_sale"), state.read("history").select("store", "item", "valid_from", "valid_to", "price", "on_sale")).collect() == []
+    files = [
+        ("a", 1, [("1", "x", one, False, 1), ("1", "y", one, False, None)], True, 0), ("b", 3, [("1", "x", two, False, 1), ("1", "z", one, False, 0)], True, 0), ("late", 2, [("1", "x", Decimal("9.0000"), False, 1)], False, 0),
+        ("broken", 4, [("1", "x", one, False, 1)], False, 3), ("d", 5, [("1", "x", two, None, 1), ("2", "x", one, False, 1)], False, 0),
+    ]
+    for part in (files[:2], files[2:]):
+        for name, day, rows, full, rejected in part:
+            staged(spark, name, day, rows, full=full, rejected=rejected).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        state = ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "checkpoint"), files_per_trigger=10, least=1)
+    got = sorted(map(tuple, state.read("price_history").select("store", "item", "valid_from", "valid_to", "price", "allow_discount").collect()), key=str)
+    assert got == sorted([("1", "x", at(1), at(3), one, False), ("1", "x", at(3), at(5), two, False), ("1", "x", at(5), None, two, None), ("1", "y", at(1), None, one, False), ("1", "z", at(3), None, one, False), ("2", "x", at(5), None, one, False)], key=str)
+    assert {(r.item, r.is_available, r.valid_to is None) for r in state.read("availability_history").where("store = '1'").collect()} == {("x", True, True), ("y", True, False), ("y", False, True), ("z", False, True)}
+    assert sorted((r.file, r.verdict) for r in state.read("quarantine").collect()) == [("broken", "too_many_rejected_records"), ("late", "source_timestamp_regression")]
+    first = state.pointers()["s"]
+    state.apply(staged(spark, "z", 9, [("9", "z", one, True, 1)]), first.batch)
+    assert state.pointers()["s"] == first
+    state.apply(staged(spark, "t", 1, [("7", "z", one, True, 1)], scope="t").unionByName(staged(spark, "u", 9, [("1", "q", one, True, 1)], full=True)), first.batch + 1)
+    assert state.pointers()["t"].version == 1 and state.pointers()["s"].version == first.version + 1 and state.pointers()["s"].source_time == at(9)
+    state.apply(staged(spark, "v", 2, [("7", "other", one, True, 1)], scope="t", full=True).where("false").unionByName(staged(spark, "v", 2, [("8", "n", one, True, 1)], scope="t", full=True)), first.batch + 2)
+    assert state.pointers()["t"].version == 2 and {r.item for r in state.read("prices", "t").collect()} == {"z", "n"}
+
+
+def test_a_full_file_that_drops_too_much_is_refused(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    items = [("1", f"i{k}", Decimal(1), Decimal(1), False, 1) for k in range(10)]
+    columns = "store string, item string, price decimal(14,4), unit_price decimal(14,4), allow_discount boolean, item_status int"
+    empty = apply.Prices(*(make([], ingest.EMPTY[n]) for n in ("prices", "price_history", "availability", "availability_history")))
+    state, counts = apply.apply_prices(empty, make(items, columns), F.lit(at(1)), True, least=5)
+    assert tuple(counts.first()) == (10, 0, 0, 0, 20)
+    with pytest.raises(apply.Refused):
+        apply.apply_prices(state, make(items[:4], columns), F.lit(at(2)), True, least=1)
+    with pytest.raises(apply.Refused):
+        apply.apply_prices(empty, make(items[:4], columns), F.lit(at(2)), True, least=5)
+    state, counts = apply.apply_prices(state, make(items[:6], columns), F.lit(at(2)), True, least=1)
+    assert tuple(counts.first()) == (0, 0, 6, 4, 4) and state.prices.count() == 10 and state.availability.where("is_available").count() == 6
+    bare = spark.createDataFrame([("2",)], "store string")
+    _, counts = apply.apply_prices(state, make(items[:6], columns), F.lit(at(3)), True, least=1, scopes=bare)
+    assert tuple(counts.first()) == (0, 0, 6, 0, 0)
 
 
 def test_guards_and_order(spark):

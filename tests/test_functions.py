@@ -36,7 +36,7 @@ def test_gtin(spark, given, want):
     assert one(spark, text.is_gtin, given) is want
 
 
-@pytest.mark.parametrize(("given", "want"), [("19.90", Decimal("19.9000")), ("1,234.5", Decimal("1234.5000")), ("3,5", Decimal("3.5000")), ("-1", None), ("x", None), ("99999999999", None), (" 7 ", Decimal("7.0000"))])
+@pytest.mark.parametrize(("given", "want"), [("19.90", Decimal("19.9000")), ("1,234.5", Decimal("1234.5000")), ("1,234", Decimal("1.2340")), ("1,234,567", Decimal("1234567.0000")), ("1\u00a0234.5", Decimal("1234.5000")), ("3,5", Decimal("3.5000")), ("-1", None), ("x", None), ("99999999999", None), (" 7 ", Decimal("7.0000"))])
 def test_decimals(spark, given, want):
     assert one(spark, values.decimal_of, given) == want
 
@@ -50,3 +50,9 @@ def test_names_and_search_text(spark):
     assert one(spark, text.clean_text, " a‏ b\x00 ") == "a b" and one(spark, text.clean_text, " \x01") is None
     assert one(spark, lambda c: text.trigram_similarity(c, F.lit("two words")), "word") == pytest.approx(4 / 11)
     assert one(spark, values.flag_of, "כן") is True and one(spark, values.flag_of, "0") is False and one(spark, values.flag_of, "?") is None
+
+
+def test_integers_and_listing_times(spark):
+    assert [one(spark, values.int_of, v) for v in (" 7 ", "-3", "1.0", "x", "")] == [7, -3, None, None, None]
+    assert one(spark, values.listing_instant, "1/2/2026 4:05:06 PM") == datetime(2026, 1, 2, 14, 5, 6) and one(spark, values.listing_instant, "2026-01-02 16:05") is None
+    assert one(spark, values.instant_of, "01/02/2026 04:05:06 PM") == datetime(2026, 1, 2, 14, 5, 6)
