@@ -211,14 +211,24 @@ def encode_parts(texts: DataFrame, path: str, size: int, overlap: int) -> DataFr
     return joined.unionByName(_map(unsure, "key string, ids binary", lambda c: [[encode(text, path) for text in c[0]]], 1))
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, part: int = PART, overlap: int = PART_OVERLAP) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers as binary), one row per row of docs. Texts of at most `part` code points are stitched where they are read."""
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digest_columns(found: list[bytes], path: str) -> list[list]:
+    return [[len(x) // 4 for x in found], [hashlib.sha256(x).hexdigest() for x in found], [hashlib.sha256(decode(x, path)).hexdigest() for x in found]]
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, part: int = PART, overlap: int = PART_OVERLAP, digested: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers as binary), or the DIGESTS of these, one row per row of docs. Texts of at most `part` code points are stitched where they are read."""
     path = path or public_tokenizers.path(RANKS)
+    schema = f"doc_id long, {DIGESTS if digested else 'ids binary'}"
+    finish = (lambda found: digest_columns(found, path)) if digested else (lambda found: [found])
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    short = _map(docs.where(F.length("text") <= part), "doc_id long, ids binary", lambda columns: [[encode(text, path) for text in columns[0]]])
+    short = _map(docs.where(F.length("text") <= part), schema, lambda columns: finish([encode(text, path) for text in columns[0]]))
     long = docs.where(F.length("text") > part).select("doc_id", F.sha2("text", 256).alias("key"), "text")
     done = encode_parts(long.groupBy("key").agg(F.max("text").alias("text")), path, part, overlap)
-    return short.unionByName(long.select("doc_id", "key").join(done, "key").select("doc_id", "ids"))
+    rows = long.select("doc_id", "key").join(done, "key").select("doc_id", "ids")
+    return short.unionByName(_map(rows, schema, lambda columns: finish(columns[0]), 16) if digested else rows)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -227,16 +237,11 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return _map(encoded.select("doc_id", "ids"), "doc_id long, ids binary, decoded binary", lambda c: [c[0], [decode(ids, path) for ids in c[0]]])
 
 
-def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode_documents(table(spark, sf_dir, "documents")))
-
-
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Number and digest of each document's ids, and the digest of what they decode to."""
     path = path or public_tokenizers.path(RANKS)
+    return _map(encoded.select("doc_id", "ids"), f"doc_id long, {DIGESTS}", lambda columns: digest_columns(columns[0], path))
 
-    def run(columns: list) -> list[list]:
-        ids = columns[0]
-        return [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(decode(x, path)).hexdigest() for x in ids]]
 
-    return _map(encoded.select("doc_id", "ids"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), digested=True)

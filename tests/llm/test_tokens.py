@@ -39,6 +39,7 @@ def test_byte_bpe_is_the_librarys(docs, chunk, overlap):
 def test_byte_bpe_digests(docs):
     own = library()
     rows = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(bpe.encode_documents(docs)).collect()}
+    assert rows == {tuple(r) for r in bpe.encode_documents(docs, digested=True).collect()} == {tuple(r) for r in bpe.encode_documents(docs, part=500, overlap=40, digested=True).collect()}
     assert rows == {(r.doc_id, len(i := own.encode_ordinary(r.text or "")), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect()}
 
 
