@@ -52,7 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_documents(docs))
+    return bpe.encode_documents(docs, digested=True)
 
 
 STAGES = [("language_id", known_language), ("ngram_jaccard", without_near_copies), ("secret_scan", without_secrets), ("source_mix", mixed), ("byte_bpe", encoded)]
