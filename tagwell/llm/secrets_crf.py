@@ -43,7 +43,7 @@ LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KEY_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "bearer", "credential", "private")
 KEY = re.compile("|".join(KEY_WORDS), re.IGNORECASE | re.ASCII)
 SHORTEST_KEY = min(map(len, KEY_WORDS))
-CACHED = 20_000_000
+CACHED = 10_000_000
 TAGS = "BIO"
 B, I, O = range(3)
 FORBIDDEN = -1e4
