@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwell.llm import bpe, language_id, secrets_crf, shingle_join, source_mix
-from tagwell.llm.common import remove, shared_dir, table
+from tagwell.llm.common import remove, shared_dir, small_batches, table
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     langs, prototypes = language_id.fit(language_id.labelled_part(docs))
     return language_id.with_known_language(docs, langs, prototypes)
 
@@ -30,6 +31,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows = keyed(docs)
     groups = shingle_join.join_documents(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).distinct().withColumnRenamed("doc_id", "of")
     placed = rows.select("key", F.col("row.doc_id").alias("doc_id")).distinct().join(groups, F.col("key") == F.col("of"))
@@ -40,10 +42,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secrets_crf.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     rows = keyed(docs)
     sizes = rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"))
     taken = source_mix.mix(sizes).where("taken > 0").groupBy(F.col("doc_id").alias("of")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
@@ -52,6 +56,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.encode_documents(docs, digested=True)
 
 
