@@ -19,11 +19,11 @@ HEADLINES = (
 )
 
 
-XML_FILES, XML_RECORDS = 8, 12_500
+XML_FILES, XML_RECORDS = 8, 2_500
 
 
 def parsed(spark: SparkSession) -> float:
-    """Seconds to parse price documents of 100,000 records into typed rows."""
+    """Seconds to parse price documents of 20,000 records into typed rows."""
     from tagwell.sources import publisher_files
 
     item = "<Item><PriceUpdateDate>2026-01-0{d} 07:30</PriceUpdateDate><ItemCode>{c:013d}</ItemCode><ItemType>1</ItemType><ItemName>Plain item {c} of some brand</ItemName><ManufacturerName>Maker {m}</ManufacturerName><UnitQty>g</UnitQty><Quantity>250.00</Quantity><UnitOfMeasure>100 g</UnitOfMeasure><bIsWeighted>0</bIsWeighted><ItemPrice>{p}.90</ItemPrice><UnitOfMeasurePrice>3.96</UnitOfMeasurePrice><AllowDiscount>1</AllowDiscount><ItemStatus>1</ItemStatus></Item>"
@@ -70,7 +70,7 @@ def main() -> None:
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
     times |= {"xml_parse": parsed(spark), "apply_written": written(spark)}
     rates = {"xml_rows_per_s": round(XML_FILES * XML_RECORDS / times["xml_parse"]), "applied_rows_per_s": round(lines / times["apply_written"]), "change_rows_per_s": round(lines / times["change_counts"]), "history_rows_per_s": round(lines / times["price_history_intervals"])}
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": SF_DIR.rpartition("sf")[2], **rates}))
+    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times[name] for name in HEADLINES), 3), "unit": "sec", "queries": times, "sf": SF_DIR.rpartition("sf")[2], **rates}))
 
 
 if __name__ == "__main__":
