@@ -46,10 +46,13 @@ def instant_of(text: Column, zone: str = ZONE) -> Column:
     bare = F.trim(text)
     offset = F.when(bare.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & bare.rlike("T"), bare.try_cast("timestamp"))
     local = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in LOCAL_FORMATS])
-    instant = F.to_utc_timestamp(local, zone)
-    wall = lambda hours: F.from_utc_timestamp(instant + F.expr(f"INTERVAL {hours} HOURS"), zone)
-    sure = (wall(0) == local) & (wall(1) != local) & (wall(-1) != local)
-    return F.coalesce(offset, F.when(sure, instant))
+
+    def sure(wall: Column) -> Column:
+        instant = F.to_utc_timestamp(wall, zone)
+        later = lambda hours: F.from_utc_timestamp(instant + F.expr(f"INTERVAL {hours} HOURS"), zone)
+        return F.when((later(0) == wall) & (later(1) != wall) & (later(-1) != wall), instant)
+
+    return F.coalesce(offset, F.transform(F.array(local), sure)[0])  # by a name, so that the time is parsed once
 
 
 def instant_of_parts(date: Column, time: Column, zone: str = ZONE) -> Column:
