@@ -64,9 +64,9 @@ def bounded_children(df: DataFrame, key: list[str], order: list[Column], child:
     return rows.where(F.col("occurrence") <= most + 1).groupBy(*key).agg(F.transform(kept, lambda x: x["_child"]).alias(name), (F.max("occurrence") > most).alias("truncated"))
 
 
-def at_most(df: DataFrame, most: int, what: str) -> None:
-    """Refuse more rows than `most`; no more than one above are counted."""
-    if df.limit(most + 1).count() > most:
+def at_most(df: DataFrame, most: int | None, what: str) -> None:
+    """Refuse more rows than `most`, if there is such a number; no more than one above are counted."""
+    if most is not None and df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows: {what}")
 
 

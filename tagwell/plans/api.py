@@ -63,10 +63,10 @@ def stores(tables: dict, name: str | None = None, city: str | None = None, retai
     return page(behind(rows, cursor, ("id", True)), [F.col("id")], size)
 
 
-def search_products(tables: dict, name: str, cursor: list | None = None, size: int = 20, most: int = 10_000, quantity: tuple | None = None) -> DataFrame:
+def search_products(tables: dict, name: str, cursor: list | None = None, size: int = 20, most: int | None = 10_000, quantity: tuple | None = None) -> DataFrame:
     """Products by rank, from four streams of candidates: a barcode (100 validated, 90 otherwise), the whole name (50), its beginning (20 and the likeness), a like name, or the like name of a matched item (10 and that likeness).
 
-    Names count for active products only. An item of the sought (value, unit) adds 2. More than `most` candidates of one kind are refused.
+    Names count for active products only. An item of the sought (value, unit) adds 2. More than `most` candidates of one kind are refused; None takes any number.
     """
     sought = text.ascii_search_text(F.lit(name))
     similarity = lambda: text.trigram_similarity(F.col("search_name"), sought)

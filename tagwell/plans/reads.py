@@ -54,17 +54,17 @@ SELECT id, name, brand, rank FROM r"""
 
 @query(f"{_search(SOUGHT)} ORDER BY rank DESC, id LIMIT 21")
 def product_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.search_products(tables(spark, sf_dir), SOUGHT, most=10_000_000).select("id", "name", "brand", "rank")
+    return api.search_products(tables(spark, sf_dir), SOUGHT, most=None).select("id", "name", "brand", "rank")
 
 
 @query(f"{_search(SOUGHT)} WHERE rank < 10.5 OR (rank = 10.5 AND id > 40) ORDER BY rank DESC, id LIMIT 21")
 def product_search_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.search_products(tables(spark, sf_dir), SOUGHT, [10.5, 40], most=10_000_000).select("id", "name", "brand", "rank")
+    return api.search_products(tables(spark, sf_dir), SOUGHT, [10.5, 40], most=None).select("id", "name", "brand", "rank")
 
 
 @query(f"{_search(BARCODE)} ORDER BY rank DESC, id LIMIT 21")
 def product_search_by_barcode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.search_products(tables(spark, sf_dir), BARCODE).select("id", "name", "brand", "rank")
+    return api.search_products(tables(spark, sf_dir), BARCODE, most=None).select("id", "name", "brand", "rank")
 
 
 @query(f"WITH {DIMENSIONS} SELECT id, name, validated FROM products JOIN (SELECT product, bool_or(validated) AS validated FROM identifiers WHERE value = '{BARCODE}' GROUP BY 1) ON id = product ORDER BY validated DESC, id LIMIT 2")
