@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -70,6 +72,12 @@ def at_most(df: DataFrame, most: int | None, what: str) -> None:
         raise ValueError(f"more than {most} rows: {what}")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of a query that is over: it does so once the driver's objects for it are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def child_budget(rows: Column, size: int, whole: int = 21, each: int = 7, kinds: int = 3) -> Column:
     """How many children of each kind a row of a page may carry, so that all together stay within the response's budget."""
     return F.least(F.lit(each), (F.lit(whole) / (F.greatest(F.least(rows, F.lit(size)), F.lit(1)) * kinds)).cast("int"))

@@ -20,7 +20,7 @@ def applied(spark: SparkSession, sf_dir: str) -> tuple[apply.Prices, DataFrame]:
     file = lambda when: snapshot(spark, sf_dir, when).select("store", F.col("product").alias("item"), "price", F.col("price").alias("unit_price"), F.col("on_sale").alias("allow_discount"), F.col("available").cast("int").alias("item_status"))
     old = file(OLD)
     seen = old.select("store", "item", (F.col("item_status") != 0).alias("is_available"), "item_status")
-    none = lambda columns: spark.createDataFrame([], f"store long, item long, valid_from timestamp, valid_to timestamp, {columns}")
+    none = lambda columns: spark.createDataFrame([], f"store long, item long, valid_from timestamp, valid_to timestamp, {columns}").where("false")
     state = apply.Prices(old.drop("item_status"), none("price decimal(14,4), unit_price decimal(14,4), allow_discount boolean"), seen, none("is_available boolean, item_status int"))
     return apply.apply_prices(state, file(NEW), at(), full=True, most=1.0, least=1)
 
@@ -42,7 +42,7 @@ FROM new FULL JOIN old ON new.product = old.product AND new.store = old.store"""
 def state_after_full_price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices and availability after it: what the file lacks keeps its price and is unavailable."""
     state, _ = applied(spark, sf_dir)
-    return state.prices.select("store", "item", "price").join(state.availability.select("store", "item", "is_available"), ["store", "item"])
+    return state.both.select("store", "item", "price", "is_available")
 
 
 @query(f"""WITH {TWO}, {ABSENT}, m AS (SELECT new.product, new.store, new.available, old.available AS was FROM new LEFT JOIN old USING (product, store))

@@ -36,3 +36,12 @@ def test_a_barcode_of_more_than_ten_thousand_products_is_searched(spark, tmp_pat
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet/*.parquet'")
     got = registry.QUERIES["product_search_by_barcode"](spark, sf).select("id", "name", "brand", "rank").collect()
     assert [tuple(r) for r in got] == con.sql(registry.ORACLES["product_search_by_barcode"]).fetchall() and len(got) == 21
+
+
+@pytest.mark.parametrize("name", ["state_after_full_price_file", "availability_events_of_full_file", "apply_full_price_file"])
+def test_a_full_file_meets_its_state_once(spark, name):
+    """Each shuffle file takes disk until the query ends: both halves of the observations for the state's two tables and for the file, and one more for all."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 0 and plan.count("Relation [l_") <= 4
