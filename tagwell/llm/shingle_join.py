@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagwell.llm.common import cut, release, slices, table, tidy
+from tagwell.llm.common import cut, release, sized_partitions, slices, table, tidy
 from tagwell.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -366,10 +366,10 @@ def enough_shared(known: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Nodes of the classes that share as many of their first shingles with other components as any link between them needs. known: node, label, n, first.
 
     Rare shingles are dealt out by bucket, packed; no more than about FREQUENT of the classes hold one. Frequent shingles are few, and what they need is a minimum and a maximum of labels, which
-    tasks combine.
+    tasks combine. A bucket's counts are dealt out by parts of the nodes, a packed row for each, and summed there.
     """
     postings = known.agg(F.sum(F.length("first") / 6)).first()[0] or 0
-    buckets = 1 + int(postings) // TILE_POSTINGS
+    buckets, parts = 1 + int(postings) // TILE_POSTINGS, sized_partitions(known.sparkSession)
     frequent = unpacked(packed(frequent))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +401,7 @@ def enough_shared(known: DataFrame, frequent: np.ndarray) -> DataFrame:
             several[group[own != own[np.flatnonzero(fresh)][group]]] = True
             shared = np.bincount(owner[several[group]], minlength=len(node))
             found = np.flatnonzero(shared)
-            return pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(shared[found].astype(np.int64))], names=["node", "shared"])
+            return parted(node[found], shared[found])
 
         for batch in batches:
             for bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -415,6 +415,30 @@ def enough_shared(known: DataFrame, frequent: np.ndarray) -> DataFrame:
         blobs = []
         release()
 
+    def parted(node: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+        """A row for each of the parts that the nodes are dealt into, packed."""
+        part = (node.astype(np.uint64) * ODD[0] >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        own = [order[low:high] for low, high in zip(ends[:-1], ends[1:], strict=True)]
+        blobs = [np.stack([node[k], shared[k].astype(np.int64)]).tobytes() for k in own]
+        return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero([len(k) for k in own]), pa.int32()), pa.array([b for b in blobs if b], pa.binary())], names=["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nodes, sums = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in slices(batches, 64):
+            for part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != held and held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sums)], names=["node", "shared"])
+                    nodes, sums = nodes[:0], sums[:0]
+                held = part
+                node, shared = np.frombuffer(blob, np.int64).reshape(2, -1)
+                nodes, at = np.unique(np.concatenate([nodes, node]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([sums, shared]), len(nodes)).astype(np.int64)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sums)], names=["node", "shared"])
+        release()
+
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -426,13 +450,14 @@ def enough_shared(known: DataFrame, frequent: np.ndarray) -> DataFrame:
         release()
 
     rows = known.select("node", "label", "first")
-    rare = rows.mapInArrow(deal, "bucket int, part binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "node long, shared long")
+    rare = rows.mapInArrow(deal, "bucket int, part binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "part int, counts binary")
+    rare = rare.repartition("part").sortWithinPartitions("part").mapInArrow(total, "node long, shared long")
     often = rows.mapInArrow(common, "shingle long, node long, label long")
     between = often.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("shingle").alias("of"))
     hot = often.join(F.broadcast(between), F.col("shingle") == F.col("of"), "left_semi").select("node", F.lit(1).cast("long").alias("shared"))  # MOST_FREQUENT rows at most
-    total = rare.unionByName(hot).groupBy("node").agg(F.sum("shared").alias("shared"))
+    found = rare.unionByName(hot).groupBy("node").agg(F.sum("shared").alias("shared"))
     enough = F.expr(f"1 + ({PERCENT} * n + 99) div 100 div {LONGER}")  # least_shared
-    return total.join(known.select("node", "n"), "node").where(F.col("shared") >= enough).select("node")
+    return found.join(known.select("node", "n"), "node").where(F.col("shared") >= enough).select("node")
 
 
 def dealt_tiles(n: int, first: np.ndarray, buckets: dict[int, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
