@@ -26,19 +26,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """key, a digest of the whole row, which only equal rows share, and the row as a struct, so that no column's name matters."""
-    return docs.select(F.xxhash64(*(docs[c] for c in docs.columns), *(docs[c].isNull() for c in docs.columns)).alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    """_key, a digest of the whole row, which only equal rows share, the row as a struct, so that no column's name matters, and its text and source."""
+    key = F.xxhash64(*(docs[c] for c in docs.columns), *(docs[c].isNull() for c in docs.columns)).alias("_key")
+    return docs.select(key, F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"], docs["source"])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     rows = keyed(docs)
-    groups = shingle_join.join_documents(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).distinct().withColumnRenamed("doc_id", "of")
-    placed = rows.select("key", F.col("row.doc_id").alias("doc_id")).distinct().join(groups, F.col("key") == F.col("of"))
+    groups = shingle_join.join_documents(rows.select(F.col("_key").alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "of")
+    placed = rows.select(F.col("_key").alias("key"), F.col("row.doc_id").alias("doc_id")).distinct().join(groups, F.col("key") == F.col("of"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "n_shingles")).alias("one")
     kept = placed.groupBy("component_id").agg(first).select(F.col("one.key").alias("of"), (F.col("one.unknown") & (F.col("one.n_shingles") == 0)).alias("apart"))
-    found = rows.join(kept, F.col("key") == F.col("of"))
-    return found.where("NOT apart").dropDuplicates(["key"]).select("row.*").unionByName(found.where("apart").select("row.*"))
+    found = rows.select("_key", "row").join(kept, F.col("_key") == F.col("of"))
+    return found.where("NOT apart").dropDuplicates(["_key"]).select("row.*").unionByName(found.where("apart").select("row.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +50,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     rows = keyed(docs)
-    sizes = rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    sizes = rows.select(F.col("_key").alias("doc_id"), "text", "source")
     taken = source_mix.mix(sizes).where("taken > 0").groupBy(F.col("doc_id").alias("of")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    repeated = rows.dropDuplicates(["key"]).join(taken, F.col("key") == F.col("of"))
+    repeated = rows.select("_key", "row").dropDuplicates(["_key"]).join(taken, F.col("_key") == F.col("of"))
     return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
