@@ -8,7 +8,8 @@ order: by hash, but those that many documents hold come last. Two classes that l
 2. What is left to find are links between different components. A class goes unless as many of its first shingles as any link needs are held by other components,
    too; the rest go to tiles by size band and bucket of shingles, with those first shingles and a hashed bitmap of the whole set. Tiles of too many classes are split into blocks, each two of which meet.
    In a tile, classes of different components that share a first shingle are compared: bit counts of the bitmaps bound their overlap from above, and pairs that can't reach it go.
-3. Classes that the pairs left connect form groups. Their sorted arrays are intersected exactly, in blocks of bounded size, each two of which meet.
+3. Classes that the pairs left connect form groups. Their sorted arrays are intersected exactly, in blocks of bounded size, each two of which meet; two blocks give
+   the components of their links, not the links.
 4. Any link lies within a component of the links found so far, so for the number of links each component's classes meet in blocks, too.
 
 Nothing is left out of a tile or block, so components and numbers of links are those of all pairs. Sorted arrays are made for classes that may link
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagwell.llm.common import cut, release, sized_partitions, slices, table, tidy
-from tagwell.llm.graph import components
+from tagwell.llm.graph import components, hung
 
 WORDS, PERCENT = 5, 75
 KEYS, LONGER = 4, 5
@@ -615,12 +616,12 @@ def met(rows: DataFrame, key: list[str], columns: list[str], kernel: Callable, s
 
 
 def between_components(at: tuple, first: list, last: list) -> tuple[list, list]:
-    """Labels of components that classes (label, set) of a group link."""
+    """Each label of components that classes (label, set) of a group link, with the smallest that these links reach: a row less than labels, whatever the number of links."""
     rows = first + last
     labels, sets = np.array([r[0] for r in rows], np.int64), [np.frombuffer(r[1], np.uint64) for r in rows]
     x, y = links_within(sets, len(first), at[-1] == at[-2], bits_of(band_of(max(map(len, sets))) + 1), labels)
-    pairs = {(a, b) for a, b in zip(labels[x].tolist(), labels[y].tolist(), strict=True)}
-    return [p[0] for p in pairs], [p[1] for p in pairs]
+    a, b = hung(labels[x], labels[y])
+    return a[a != b].tolist(), b[a != b].tolist()
 
 
 def number_of_links(at: tuple, first: list, last: list) -> tuple[list, list]:

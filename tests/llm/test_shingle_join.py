@@ -117,6 +117,17 @@ def test_links_of_a_block_against_all_pairs(monkeypatch):
     assert set(zip(x.tolist(), y.tolist())) == {(i, j) for i, j in want if i % 3 != j % 3}
 
 
+def test_blocks_give_no_more_rows_than_labels():
+    rng = np.random.default_rng(9)
+    bases = [rng.integers(0, 1 << 62, 120, np.uint64) for _ in range(2)]
+    rows = [(k + 1, np.sort(np.append(bases[k % 2], np.uint64(k))).tobytes()) for k in range(80)] + [(99, np.sort(rng.integers(0, 1 << 62, 120, np.uint64)).tobytes())]
+    a, b = sj.between_components((5, 0, 0), rows, [])  # two groups, in each of which all are linked, and one set alone
+    assert dict(zip(a, b, strict=True)) == {k: 2 - k % 2 for k in range(3, 81)} and len(a) == 78
+    a, b = sj.between_components((5, 0, 1), rows[:40], rows[40:])
+    assert dict(zip(a, b, strict=True)) == {k: 2 - k % 2 for k in range(3, 81)} and len(a) == 78
+    assert sj.between_components((5, 0, 0), rows[-1:] + rows[:1], []) == ([], [])
+
+
 def test_connected_components(spark):
     rng = random.Random(6)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]
