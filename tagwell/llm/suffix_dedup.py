@@ -44,7 +44,7 @@ from tagwell.llm.shingle_join import ODD, word_hashes
 
 LENGTH, ANCHOR = 400, 48
 WORDS, ANCHOR_WORDS = 50, 8
-WHITE = r"[\x20\x09-\x0D]+"
+ALL = (1 << 31) - 1
 CHUNK = 1 << 20
 BLOCK_BYTES, BLOCK_CONTEXTS = 1 << 20, 4096
 FACTOR = 0x9E3779B97F4A7C15
@@ -143,6 +143,11 @@ def word_contexts(texts: list[bytes], words: int = WORDS, anchor: int = ANCHOR_W
         yield of, own, space[first + of] - starts[of], space[last + of + words] + 1 - starts[of]  # each text has a space more than words
 
 
+def spaced(data: bytes) -> bytes:
+    """The words between white space, with one space before and behind each."""
+    return b" ".join([b"", *data.split(), b""])
+
+
 def windows_of(data: bytes, window: int) -> Iterator[tuple[int, int]]:
     """First byte and end of each window."""
     if window > 0:
@@ -169,7 +174,7 @@ def occurrences(texts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(2).to_pylist() if window > 0 else [spaced(data) for data in batch.column(2).to_pylist()]
             parts = list(found(texts)) or [(np.empty(0, np.int64),) * 4]
             of, h, first, end = (np.concatenate(c) for c in zip(*parts, strict=True))
             digest = xxhash.xxh3_64_intdigest
@@ -181,7 +186,7 @@ def occurrences(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, OCCURRENCE)
 
 
-def fetched(needed: DataFrame, texts: DataFrame) -> DataFrame:
+def fetched(needed: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """h, ctx, owner and the bytes of contexts, from their text."""
     wanted = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "ctx", "owner", "start", "size")).alias("list")).withColumnsRenamed({"k1": "of1", "k2": "of2"})
     rows = wanted.join(texts, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2"))).select("list", "data")
@@ -190,7 +195,8 @@ def fetched(needed: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out = [(x["h"], x["ctx"], x["owner"], data[x["start"] : x["start"] + x["size"]]) for found, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x in found]
+                texts = part.column(1).to_pylist() if window > 0 else [spaced(data) for data in part.column(1).to_pylist()]
+                out = [(x["h"], x["ctx"], x["owner"], data[x["start"] : x["start"] + x["size"]]) for found, data in zip(part.column(0).to_pylist(), texts, strict=True) for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "ctx", "owner", "data"])
         release()
 
@@ -248,7 +254,7 @@ def counted_windows(strings: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
-    """k1, k2 and spans (first byte, end) that repeated windows cover, for texts (k1, k2, data) that have any. A window above 0 is a number of bytes and repeats anywhere else; below 0 it is a number of words, which another text has to hold."""
+    """k1, k2 and spans (first byte, end) that repeated windows cover, for texts (k1, k2, data) that have any. A window above 0 is a number of bytes and repeats anywhere else; below 0 it is a number of words, which another text has to hold, spans are of the spaced text, and one of ALL covers a text that several rows hold."""
     register(texts.sparkSession)
     found = occurrences(texts, window) if window > 0 else cut(occurrences(texts, window))  # of words there are few
     several_texts = F.min(F.struct("k1", "k2")) != F.max(F.struct("k1", "k2"))
@@ -262,12 +268,15 @@ def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     several = known.where("contexts > 1 AND NOT whole").select("h", "ctx", "contexts", "one.*", owner.alias("owner"))
     few, many = F.col("contexts") <= BLOCK_CONTEXTS, F.col("contexts") > BLOCK_CONTEXTS
     size = several.where(few).agg(F.sum("size")).first()[0] or 0
-    marks = whole.unionByName(sorted_blocks(fetched(several.where(few), texts), 1 + size // BLOCK_BYTES, window))
+    marks = whole.unionByName(sorted_blocks(fetched(several.where(few), texts, window), 1 + size // BLOCK_BYTES, window))
     if several.where(many).limit(1).count():
-        marks = marks.unionByName(counted_windows(fetched(several.where(many), texts), window))
+        marks = marks.unionByName(counted_windows(fetched(several.where(many), texts, window), window))
     marks = cut(marks.groupBy("h", "ctx").agg(F.collect_list(F.struct("first", "end")).alias("runs")).withColumnsRenamed({"h": "of", "ctx": "of_ctx"}))
     tidy(texts.sparkSession)
     spans = found.join(marks, (F.col("h") == F.col("of")) & (F.col("ctx") == F.col("of_ctx"))).select("k1", "k2", F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["end"]).alias("end"))).alias("spans"))
+    if window < 0:  # each row with a window has one context from the first byte on
+        copies = found.where("start = 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        spans = spans.unionByName(copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("first"), F.lit(ALL).alias("end"))).alias("spans")))
     return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
@@ -289,26 +298,24 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, words: int | None = None)
     texts = rows.where(F.octet_length("data") >= length).select("k1", "k2", "data")
     found = cut(repeated_spans(texts, length))
     if words:
-        plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.col("data").cast("string"), WHITE, " ")), F.lit(" ")).cast("binary")
-        spaced = rows.select("k1", "k2", plain.alias("data")).where(F.octet_length("data") > 2 * words)
-        passages = cut(repeated_spans(spaced, -words))
-        copies = spaced.where(F.regexp_count(F.col("data").cast("string"), F.lit(" ")) > words).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-        found = found.join(passages.withColumnRenamed("spans", "passages"), ["k1", "k2"], "full_outer").join(copies, ["k1", "k2"], "full_outer")
+        passages = cut(repeated_spans(rows.where(F.octet_length("data") >= 2 * words - 1).select("k1", "k2", "data"), -words))
+        found = found.join(passages.withColumnRenamed("spans", "passages"), ["k1", "k2"], "full_outer")
     else:
-        found = found.withColumns({"passages": F.lit(None).cast("array<struct<first: int, end: int>>"), "copies": F.lit(None).cast("long")})
+        found = found.withColumn("passages", F.lit(None).cast("array<struct<first: int, end: int>>"))
     found = found.withColumnsRenamed({"k1": "of1", "k2": "of2"})
-    placed = rows.join(found, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")), "left").select("doc_id", "data", "spans", "passages", "copies")
+    tidy(docs.sparkSession)
+    placed = rows.join(found, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")), "left").select("doc_id", "data", "spans", "passages")
     arrow = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             runs, kept, passages = [], [], []
-            for data, found, others, copies in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            for data, found, others in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
                 own = joined([(x["first"], x["end"]) for x in found or ()])
                 edges = [0, *(x for run in own for x in run), len(data)]
                 runs.append([{"first": a, "end": b} for a, b in own])
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                passages.append(1 if copies else len(joined([(x["first"], x["end"] - 1) for x in others or ()])))
+                passages.append(len(joined([(x["first"], x["end"] - 1) for x in others or ()])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, arrow), pa.array(kept, pa.binary()), pa.array(passages, pa.int64())], names=["doc_id", "data", "spans", "kept", "n_passages"])
         release()
 

@@ -136,6 +136,15 @@ def test_passages_of_words_that_other_documents_hold(spark, most, monkeypatch):
     assert got == dict(enumerate(want)) and sum(want) >= 7
 
 
+def test_copies_and_white_space_need_no_further_pass_over_the_texts(spark, tmp_path):
+    short, long = " ".join("a" * 49), " ".join("b" * 50)  # 97 and 99 bytes
+    texts = [short, short, long, long, " " * 300, " " * 300, "\x0b".join("c" * 50), "\x0c\r ".join("c" * 50), "\u00a0".join("d" * 60), "\u00a0".join("d" * 60), "", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    out = sd.deduplicate(spark.read.parquet(f"{tmp_path}/docs"), words=50)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r.doc_id for r in out.where("n_passages = 1").collect()} == {2, 3, 6, 7} and not out.where("n_passages > 1").count()
+
+
 @pytest.mark.parametrize(("seed", "most"), [(1, 4096), (2, 3)])
 def test_against_all_windows(spark, seed, most, monkeypatch):
     monkeypatch.setattr(sd, "BLOCK_BYTES", 5000)
