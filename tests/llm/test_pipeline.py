@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from tagwell.llm import secrets_crf
+from tagwell.llm import secrets_crf, shingle_join
 
 ENGLISH = "the cat and the dog went with this that they will have from there their what about would which could"
 
@@ -41,6 +41,24 @@ def test_stages_take_effect(spark, sf_dir):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.doc_id) for r in at["source_mix"])
 
 
+def test_near_copies_that_no_pivot_joins_give_no_row_for_each_pair(spark, monkeypatch):
+    made = []
+
+    def cut(df, old=shingle_join.cut):
+        out = old(df)
+        made.extend([out.count()] if out.columns == ["a", "b"] else [])
+        return out
+
+    monkeypatch.setattr(shingle_join, "cut", cut)
+    monkeypatch.setattr(shingle_join, "verified", lambda pairs, sets: pairs.select("a", "b").where("false"))
+    words = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*words[: 3 * k], f"x{k}", *words[3 * k + 1 :]]), "en", "s", 1) for k in range(60)] + [(99, " ".join(words[::-1]), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 99]
+    assert made[-1] == 59  # the links of the group, 1,770, as one component
+
+
 def test_empty_table(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
