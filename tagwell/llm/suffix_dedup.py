@@ -256,7 +256,7 @@ def counted_windows(strings: DataFrame, window: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     """k1, k2 and spans (first byte, end) that repeated windows cover, for texts (k1, k2, data) that have any. A window above 0 is a number of bytes and repeats anywhere else; below 0 it is a number of words, which another text has to hold, spans are of the spaced text, and one of ALL covers a text that several rows hold."""
     register(texts.sparkSession)
-    found = occurrences(texts, window) if window > 0 else cut(occurrences(texts, window))  # of words there are few
+    found = cut(occurrences(texts, window))
     several_texts = F.min(F.struct("k1", "k2")) != F.max(F.struct("k1", "k2"))
     different = found.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("one"), several_texts.alias("shared"))
     if window > 0:
